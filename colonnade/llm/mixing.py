@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Only the document at which a source's last pass ends is taken in part, so at most one per source is rounded.
     """
     names = docs.columns
-    copies = mix(docs, carry=(), **options).selectExpr("__row", "cast(floor(taken / size + 0.5) as int) as __copies").filter("__copies > 0")
+    copies = mix(docs, carry=(), **options).selectExpr("__row", "cast(floor(coalesce(try_divide(taken, size), 0) + 0.5) as int) as __copies").filter("__copies > 0")
     rows = keyed(docs, *[f"`{c}`" for c in names])
     rows = rows.join(copies, "__row").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)")))
     return rows.select([f"`{c}`" for c in names])

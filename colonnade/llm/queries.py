@@ -5,22 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, tune
-from .mixing import mix
-from .sharding import shuffle_into_shards
+from . import decontaminate, exact_dedup, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
+from .common import documents
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(documents(spark, sf_dir))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("selected", F.col("tail_2") >= 0.5)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] != "owned")
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[n(k) for k in pii.BASE], F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"),
+    )
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return shuffle_into_shards(documents(spark, sf_dir), 40).select(
+    return sharding.shuffle_into_shards(documents(spark, sf_dir), 40).select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_sharding": op10_sharding}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_lm_scoring, op3_simhash, op4_mixing, op5_decontamination, op6_quality, op7_secrets, op8_pii, op9_substring, op10_sharding
+)}
 ORACLE: dict[str, str] = {}

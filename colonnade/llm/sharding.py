@@ -55,7 +55,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20, buc
 
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
-    def settle(key, bucket: pa.Table, start: pa.Table) -> pa.Table:
+    def settle(key, bucket, start):
         bucket = bucket.sort_by("__row")
         bucket = bucket.take(pa.array(fisher_yates(bucket.num_rows, seed, key[0].as_py())))
         # Python's integers: rank times shards may pass 64 bits
