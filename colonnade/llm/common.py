@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts: ``[\x20\x09-\x0D]``; also what ``bytes.split()`` splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: A side of a join is broadcast if it was counted and has no more rows than this (about 40 bytes each); else it is shuffled.
+BROADCAST_ROWS = 1_000_000
+
 #: Rows per Arrow batch: keeps a batch of very long texts small.
 ARROW_ROWS = 512
 
@@ -40,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if it is counted to be small; for narrow tables that are already written."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Spool:
     """A compressed Parquet table in the shared folder, deleted by ``drop()`` once everything read from it is written."""
 
@@ -56,17 +64,18 @@ class Spool:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(docs: DataFrame, *columns: str, key: str = "__row") -> DataFrame:
-    """The named columns and a key for each row, so that repeated rows and repeated or null ids stay apart.
+def stable(df: DataFrame) -> DataFrame:
+    """The same rows, dealt to the same partitions each time they are read.
 
-    The key comes from the place of a row in its partition. A plan of scans, projections and filters deals the
-    same rows to the same partitions each time it runs; other plans (shuffles, adaptive ones) are written out first.
+    Plans of scans, projections and filters are so already; others (shuffles, adaptive ones) are written out first.
     """
-    docs = docs.select(*columns)
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "Sample")):
-        docs = cut(docs)
-    return docs.withColumn(key, F.monotonically_increasing_id())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df) if any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "Sample")) else df
+
+
+def keyed(docs: DataFrame, *columns: str, key: str = "__row") -> DataFrame:
+    """The named columns and a key for each row, its place among the partitions, so that repeated rows and repeated or null ids stay apart."""
+    return stable(docs.select(*columns)).withColumn(key, F.monotonically_increasing_id())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

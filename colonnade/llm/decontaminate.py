@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spool, cut, keyed
+from .common import Spool, cut, keyed, small
 
 #: Separators in the text before it is lower-cased: the complement of digits, letters and all beyond ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASE = 10
-#: A side of a join is broadcast if it was counted and has no more rows than this (about 40 bytes each); else it is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def _split(text: Column | str) -> Column:
@@ -45,11 +43,6 @@ def words(rows: DataFrame, key: str, text: str) -> DataFrame:
     return out.filter("__w <> ''").select(key, (F.col("__i") - F.col("__lead")).alias("pos"), _lower("__w").alias("word"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if it is counted to be small; for tables that are already written."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class Index:
     """Postings of a benchmark's terms in the training documents, in the shared folder until ``drop()``."""
 
@@ -58,7 +51,7 @@ class Index:
         self.item_words = cut(words(items, "__row", text).withColumnRenamed("__row", "item"))
         self.terms = cut(self.item_words.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")))
         found = words(docs, "__row", text).withColumnRenamed("__row", "row")
-        self._spool = Spool(found.join(_small(self.terms), "word").select("term", "row", "pos"), "postings")
+        self._spool = Spool(found.join(small(self.terms), "word").select("term", "row", "pos"), "postings")
         self.postings = self._spool.read()
         self.frequencies = cut(self.postings.groupBy("term").agg(F.count("*").alias("n")))
 
@@ -84,10 +77,10 @@ class Index:
             "item", "start", "size", "words", "ranked[0].term as t1", "start + ranked[0].at as p1", "get(ranked, 1).term as t2", "start + get(ranked, 1).at as p2"
         ))
         pivots = cut(windows.groupBy("item", "p1", "p2").agg(F.first("t1").alias("t1"), F.first("t2").alias("t2")))
-        first = self.postings.join(_small(pivots), F.col("term") == F.col("t1")).selectExpr("row", "pos - p1 as diagonal", "item", "p1", "p2")
+        first = self.postings.join(small(pivots), F.col("term") == F.col("t1")).selectExpr("row", "pos - p1 as diagonal", "item", "p1", "p2")
         alone = first.filter("p2 is null")
         paired = pivots.filter("p2 is not null")
-        second = self.postings.join(_small(paired), F.col("term") == F.col("t2")).selectExpr("row", "pos - p2 as diagonal", "item", "p1", "p2")
+        second = self.postings.join(small(paired), F.col("term") == F.col("t2")).selectExpr("row", "pos - p2 as diagonal", "item", "p1", "p2")
         places = first.join(second, ["row", "diagonal", "item", "p1", "p2"], "left_semi").unionByName(alone)
         # what stands at these places, compared with the rest of the windows
         open_windows = places.join(windows.select("item", "p1", "p2", "start", "size", "words"), (places["item"] == windows["item"]) & (places["p1"] == windows["p1"]) & places["p2"].eqNullSafe(windows["p2"])).select(
@@ -96,7 +89,7 @@ class Index:
         open_windows = cut(open_windows.distinct())
         wanted = cut(open_windows.select("row", "diagonal", "item", F.explode("words").alias("w")).select("row", "diagonal", "item", "w.pos", "w.term").distinct()
                      .select("row", (F.col("diagonal") + F.col("pos")).alias("pos"), "term", "diagonal", "item", F.col("pos").alias("item_pos")))
-        found = self.postings.join(_small(wanted), ["row", "pos", "term"]).select("row", "diagonal", "item", "item_pos")
+        found = self.postings.join(small(wanted), ["row", "pos", "term"]).select("row", "diagonal", "item", "item_pos")
         hits = found.groupBy("row", "diagonal", "item").agg(F.collect_set("item_pos").alias("matched"))
         out = open_windows.drop("words").join(hits, ["row", "diagonal", "item"])
         return out.filter(F.size(F.filter("matched", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("size")))) == F.col("size")).drop("matched")
@@ -104,7 +97,7 @@ class Index:
     def proximity(self, size: int = PHRASE, slop: int = 5) -> DataFrame:
         """(row, item, start, pos): windows all of whose distinct terms stand, in any order, within size + slop words of the place ``pos`` of the rarest."""
         windows = cut(self.windows(size).selectExpr("item", "start", "size", "ranked[0].term as t1", "array_distinct(words.term) as terms"))
-        rarest = self.postings.join(_small(windows), F.col("term") == F.col("t1")).selectExpr("row", "pos as at", "item", "start", "size", "terms")
+        rarest = self.postings.join(small(windows), F.col("term") == F.col("t1")).selectExpr("row", "pos as at", "item", "start", "size", "terms")
         wanted = rarest.withColumn("term", F.explode("terms"))
         near = wanted.join(self.postings, ["row", "term"]).filter(F.abs(F.col("pos") - F.col("at")) <= F.col("size") + slop)
         # one place per term: the nearest; all of them in one stretch of size + slop words
@@ -141,4 +134,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE, d
     """``docs`` without contaminated rows, all columns kept."""
     names = docs.columns
     bad = cut(decontaminate(docs, benchmark, size, doc_id, text).filter("n_hit > 0").select("__row"))
-    return keyed(docs, *[f"`{c}`" for c in names]).join(_small(bad), "__row", "left_anti").select([f"`{c}`" for c in names])
+    return keyed(docs, *[f"`{c}`" for c in names]).join(small(bad), "__row", "left_anti").select([f"`{c}`" for c in names])

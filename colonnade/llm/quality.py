@@ -149,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["__id", "grade", "features"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = texts.join(F.broadcast(chosen), "__id").select("__id", "grade", "__text")  # at most `rows` ids
+    # at most `rows` ids, one text of each
+    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "grade").agg(F.min("__text").alias("__text"))
     got = found.mapInArrow(extract, f"__id {kind}, grade int, features array<int>").toArrow().sort_by("__id")
-    got = got.slice(0, 2 * rows)
     lists = got["features"].combine_chunks()
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     return fit([flat[a:b] for a, b in zip(offsets, offsets[1:])], got["grade"].to_numpy().astype(np.int64), n_grades)

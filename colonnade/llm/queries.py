@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
 from .common import documents
+from .oracle import ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +85,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_lm_scoring, op3_simhash, op4_mixing, op5_decontamination, op6_quality, op7_secrets, op8_pii, op9_substring, op10_sharding
 )}
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]

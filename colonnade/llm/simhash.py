@@ -7,6 +7,7 @@ of segments, and the complete distance of what it finds is verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, tune
+from .common import components, cut, keyed, small, tune
+from .substring import mix
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -86,6 +88,105 @@ def hamming_links(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataF
     return found.filter(f"a <> fp and (mask <> 0 or a < fp) and bit_count(a ^ fp) <= {radius}").select("a", F.col("fp").alias("b"))
 
 
+def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int]:
+    """(segments, bits of each, greatest distance) for so many documents and a least Jaccard similarity of shingles.
+
+    Two sets of like size with Jaccard J have the cosine 2J / (1 + J); a bit differs with the probability of its angle
+    over pi. Segments have six bits more than number the documents, 24 at least, so a look-up finds few strangers at any
+    size; there are as many as find a pair halfway between the least similarity and 1 with the probability
+    ``recall`` when one bit of a segment may differ.
+    """
+
+    def differ(j: float) -> float:
+        return math.acos(2 * j / (1 + j)) / math.pi
+
+    width = min(48, max(24, max(1, n_docs).bit_length() + 6))
+    p = differ((1 + similarity) / 2)
+    hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    segments = max(8, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+    return segments, width, round(differ(similarity) * segments * width)
+
+
+def long_fingerprint(text: bytes | None, size: int, bits: int) -> np.ndarray:
+    """SimHash of ``bits`` bits (0 or 1 each) from mixes of the shingles' XXH64. No words: all 0."""
+    found = shingles(text, size)
+    if not found:
+        return np.zeros(bits, np.uint8)
+    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))
+    counts = np.concatenate([bit_counts(mix(h, np.uint64(i + 1))) for i in range(-(-bits // 64))])
+    return (counts[:bits] * 2 > len(found)).astype(np.uint8)
+
+
+def _distance(a: str, b: str, words: int) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}.w[{i}] ^ {b}.w[{i}])" for i in range(words)))
+
+
+def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, keep) of each row that has near copies: ``keep`` is the least key among all that are linked to it.
+
+    Documents are linked when the complete distance of their fingerprints is that of the similarity or less. Equal
+    fingerprints are one node. Nodes that share a segment are first linked to the least of them; look-ups of Hamming
+    balls then pass over what is in one component already, so a large group of near copies is never expanded into
+    pairs, and no link between components is lost.
+    """
+    tune(rows.sparkSession)
+    segments, width, most = plan(rows.count(), similarity)
+    bits = segments * width
+    words = -(-bits // 64)
+    weights = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            if not b.num_rows:
+                continue
+            f = np.stack([long_fingerprint(x, size, bits) for x in b.column(1).to_pylist()])
+            seg = f.reshape(-1, segments, width).astype(np.int64) @ weights
+            padded = np.zeros((len(f), words * 64), np.uint8)
+            padded[:, :bits] = f
+            w = np.packbits(padded, axis=1, bitorder="little").view("<i8")
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel())) for x in (w, seg)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "w", "seg"])
+
+    prints = cut(rows.select(F.col(key), F.col(text).cast("binary")).mapInArrow(batches, "key long, w array<long>, seg array<long>"))
+    nodes = cut(prints.groupBy("w").agg(F.min("key").alias("id"), F.first("seg").alias("seg")))
+    fps = nodes.select("id", "w")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = fps.selectExpr("id as a", "w").alias("x"), fps.selectExpr("id as b", "w").alias("y")
+        return pairs.distinct().join(a, "a").join(b, "b").filter(_distance("x", "y", words) <= most).select("a", "b")
+
+    entries = nodes.select("id", F.posexplode("seg").alias("at", "value"))
+    least = entries.groupBy("at", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    star = entries.join(least, ["at", "value"]).filter("id <> b").selectExpr("id as a", "b")
+    first = cut(verified(star))
+    part = components(first)
+    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("at", "value", "id", F.coalesce("component", "id").alias("part")))
+
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, 1)])
+    probes = entries.withColumn("mask", F.explode(masks)).filter("(value & mask) = 0").selectExpr("at", "value ^ mask as value", "id as a", "part as part_a")
+    met = entries.select("at", "value", "part").distinct()
+    met = probes.join(met, ["at", "value"]).filter("part <> part_a").drop("part_a")
+    pairs = met.join(entries, ["at", "value", "part"]).selectExpr("least(a, id) as a", "greatest(a, id) as b")
+    links = first.unionByName(verified(pairs))
+    found = components(links)
+    # all rows of a node are copies of its least row
+    out = prints.join(nodes.select("w", "id"), "w").join(found, F.col("id") == F.col("node"), "left")
+    return out.select(F.col("key").alias(key), F.coalesce("component", "id").alias("keep"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, all columns kept.
+
+    The first row of a group stays. Null and empty texts are one group, repeated rows are copies; an empty table
+    gives no rows.
+    """
+    names = docs.columns
+    rows = keyed(docs, *[f"`{c}`" for c in names])
+    classes = near_duplicate_classes(rows, size=size, similarity=similarity)
+    gone = cut(classes.filter("__row <> keep").select("__row"))
+    return rows.join(small(gone), "__row", "left_anti").select([f"`{c}`" for c in names])
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from colonnade.llm import decontaminate, exact_dedup, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
+from colonnade.llm import common, decontaminate, exact_dedup, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
 
 
 def sha(text: str) -> str:
@@ -216,7 +216,7 @@ def test_decontamination(spark, docs, prose):
 def test_shuffled_sides_give_the_same(spark, docs, monkeypatch):
     bench = docs.filter("text is not null").selectExpr("doc_id as item_id", "text").limit(20)
     want = rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit", "items")
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit", "items") == want
 
 
