@@ -3,7 +3,7 @@
 1. Each partition of the documents hashes its normalised texts to 48 bits and sends, to the owner of each hash
    range, the sorted distinct hashes as a Golomb (Rice) code of their gaps.
 2. An owner answers each sender with a bitmap: which of its hashes another partition sent too.
-3. The partitions, read again in place (a zip, no shuffle of the texts), send on only suspects: one row per
+3. The partitions, read again and zipped with their answers (no shuffle of the texts), send on only suspects: one row per
    distinct suspect text and partition. Grouping those rows by the text itself is the byte verification.
 
 Equal texts meet as one row per partition, so a group with a third of all rows is no load on one task.
@@ -14,11 +14,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, cut, partitions
+from .common import SPACE, cut, partitions, stable, tune
 
 HASH_BITS = 48
 
@@ -79,27 +81,30 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
+    tune(spark)
     owners = partitions(spark)
     id_type = docs.schema[doc_id].dataType
-    rows = docs.select(F.col(doc_id), F.col(text).cast("binary")).rdd
-
-    def hashes_of(part) -> np.ndarray:
-        return np.unique(np.fromiter((_fingerprint(hashlib.sha256(normalise(x[1])).digest()) for x in part), np.uint64))
-
-    def send(sender, part):
-        for o, own in _by_owner(hashes_of(part), owners):
-            yield o, (sender, *golomb_encode(own, _low(o, owners), _low(o + 1, owners)))
-
-    def answer(part):
-        got = [(o, s, golomb_decode(n, k, u, r, _low(o, owners))) for o, (s, n, k, u, r) in part]
-        if not got:
-            return
-        values, times = np.unique(np.concatenate([x[2] for x in got]), return_counts=True)
+    docs = stable(docs.select(F.col(doc_id), F.col(text).cast("binary")))
+    rows = docs.rdd
+
+    def send(parts):
+        hashes = [np.fromiter((_fingerprint(hashlib.sha256(normalise(x)).digest()) for x in b.column(1).to_pylist()), np.uint64, b.num_rows) for b in parts]
+        if hashes:
+            sent = [(o, *golomb_encode(own, _low(o, owners), _low(o + 1, owners))) for o, own in _by_owner(np.unique(np.concatenate(hashes)), owners)]
+            owner, n, k, unary, rest = zip(*sent) if sent else ((),) * 5
+            sender = [TaskContext.get().partitionId()] * len(sent)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(sender, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary())], ["owner", "sender", "n", "k", "unary", "rest"])
+
+    def answer(key, messages):
+        low = _low(key[0].as_py(), owners)
+        got = [(m["sender"], golomb_decode(m["n"], m["k"], m["unary"], m["rest"], low)) for m in messages.to_pylist()]
+        values, times = np.unique(np.concatenate([own for _, own in got]), return_counts=True)
         shared = values[times > 1]
-        for o, s, own in got:
-            yield s, (o, np.packbits(np.isin(own, shared, assume_unique=True)).tobytes())
+        bitmaps = [np.packbits(np.isin(own, shared, assume_unique=True)).tobytes() for _, own in got]
+        return pa.table({"sender": pa.array([s for s, _ in got], pa.int32()), "owner": pa.array([key[0].as_py()] * len(got), pa.int32()), "bitmap": pa.array(bitmaps, pa.binary())})
 
-    replies = rows.mapPartitionsWithIndex(send).partitionBy(owners, int).mapPartitions(answer)
+    sent = docs.mapInArrow(send, "owner int, sender int, n int, k int, unary binary, rest binary")
+    replies = cut(sent.groupBy("owner").applyInArrow(answer, "sender int, owner int, bitmap binary")).rdd.map(lambda r: (r[0], (r[1], bytes(r[2]))))
     replies = replies.partitionBy(rows.getNumPartitions(), int).mapPartitions(lambda part: [dict(x[1] for x in part)])
     whole = rows.mapPartitions(lambda part: [[tuple(x) for x in part]])
     if more := replies.getNumPartitions() - whole.getNumPartitions():
