@@ -2,7 +2,7 @@
 shared folder and memory-mapped by the workers that score.
 
 Tokens are XXH64 hashes of words in ASCII lower case; a bigram is the top 48 bits of its two words' hashes, its key
-a 64-bit hash of both. Counts are summed within a chunk of a few million tokens before they are shuffled, as packed
+a 64-bit hash of both. Counts are summed within a chunk of a million tokens or two before they are shuffled, as packed
 arrays, to the owner of a key range; owners write one file of sorted keys and counts each. No owner gets more than
 one entry per key and chunk, so frequent words and contexts are no load on one task.
 """
@@ -26,7 +26,7 @@ from .substring import mix
 
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\x00end", b"\x00start"))
 #: Tokens whose counts are summed before they are sent, or that are scored together.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 _P = np.uint64(16)
 
 
