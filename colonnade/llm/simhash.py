@@ -88,87 +88,117 @@ def hamming_links(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataF
     return found.filter(f"a <> fp and (mask <> 0 or a < fp) and bit_count(a ^ fp) <= {radius}").select("a", F.col("fp").alias("b"))
 
 
-def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int]:
-    """(segments, bits of each, greatest distance) for so many documents and a least Jaccard similarity of shingles.
+def _differ(similarity: float) -> float:
+    """The chance that a bit of two fingerprints differs: the angle between their shingle sets, over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    Two sets of like size with Jaccard J have the cosine 2J / (1 + J); a bit differs with the probability of its angle
-    over pi. Segments have six bits more than number the documents, 24 at least, so a look-up finds few strangers at any
-    size; there are as many as find a pair halfway between the least similarity and 1 with the probability
-    ``recall`` when one bit of a segment may differ.
-    """
 
-    def differ(j: float) -> float:
-        return math.acos(2 * j / (1 + j)) / math.pi
+def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int, int]:
+    """(segments, bits of each, distance up to which a pair is taken, distance up to which it is compared exactly).
 
-    width = min(48, max(24, max(1, n_docs).bit_length() + 6))
-    p = differ((1 + similarity) / 2)
+    Two sets of like size with Jaccard J have the cosine 2J / (1 + J); a bit differs with the probability of its angle
+    over pi. Segments have six bits more than number the documents, 30 at least, so a look-up finds few strangers at any
+    size; there are as many as find a pair halfway between the least similarity and 1 with the probability ``recall``
+    when one bit of a segment may differ. Distances from two standard deviations below the one that the least
+    similarity makes likely to three above it are in doubt.
+    """
+    width = min(48, max(30, max(1, n_docs).bit_length() + 6))
+    p = _differ((1 + similarity) / 2)
     hit = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     segments = max(8, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-    return segments, width, round(differ(similarity) * segments * width)
+    bits, p = segments * width, _differ(similarity)
+    deviation = math.sqrt(bits * p * (1 - p))
+    return segments, width, math.floor(bits * p - 2 * deviation), math.ceil(bits * p + 3 * deviation)
 
 
 def long_fingerprint(text: bytes | None, size: int, bits: int) -> np.ndarray:
     """SimHash of ``bits`` bits (0 or 1 each) from mixes of the shingles' XXH64. No words: all 0."""
-    found = shingles(text, size)
-    if not found:
+    h = shingle_hashes(text, size)
+    if not len(h):
         return np.zeros(bits, np.uint8)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))
     counts = np.concatenate([bit_counts(mix(h, np.uint64(i + 1))) for i in range(-(-bits // 64))])
-    return (counts[:bits] * 2 > len(found)).astype(np.uint8)
+    return (counts[:bits] * 2 > len(h)).astype(np.uint8)
 
 
-def _distance(a: str, b: str, words: int) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}.w[{i}] ^ {b}.w[{i}])" for i in range(words)))
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    found = shingles(text, size)
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))
+
+
+def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' distinct shingles have that Jaccard similarity; shingles are 32-bit hashes."""
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            found = [np.unique((shingle_hashes(t, size) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "s"])
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+    found = cut(rows.join(small(ids), key).select(key, text).mapInArrow(sets, "id long, s binary"))
+    x, y = found.selectExpr("id as a", "s as x"), found.selectExpr("id as b", "s as y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, keep) of each row that has near copies: ``keep`` is the least key among all that are linked to it.
+    """(key, keep) of each row: ``keep`` is the least key among all rows that links lead to, its own if there are none.
 
-    Documents are linked when the complete distance of their fingerprints is that of the similarity or less. Equal
-    fingerprints are one node. Nodes that share a segment are first linked to the least of them; look-ups of Hamming
-    balls then pass over what is in one component already, so a large group of near copies is never expanded into
-    pairs, and no link between components is lost.
+    Pairs that share a segment but for one bit are verified by the complete distance of their fingerprints and, where
+    that leaves a doubt, by their shingles. Equal fingerprints are one node. Nodes with an equal segment are first
+    linked to the least of them; look-ups of Hamming balls then pass over what is in one component already, so a large
+    group of near copies is never expanded into pairs, and no link between components is lost.
     """
     tune(rows.sparkSession)
-    segments, width, most = plan(rows.count(), similarity)
+    rows = rows.select(key, F.col(text).cast("binary").alias(text))
+    segments, width, sure, doubtful = plan(rows.count(), similarity)
     bits = segments * width
     words = -(-bits // 64)
+    # a look-up key is the segment's number above its bits
     weights = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
+    number = np.arange(segments, dtype=np.int64) << width
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             if not b.num_rows:
                 continue
             f = np.stack([long_fingerprint(x, size, bits) for x in b.column(1).to_pylist()])
-            seg = f.reshape(-1, segments, width).astype(np.int64) @ weights
+            seg = f.reshape(-1, segments, width).astype(np.int64) @ weights + number
             padded = np.zeros((len(f), words * 64), np.uint8)
             padded[:, :bits] = f
             w = np.packbits(padded, axis=1, bitorder="little").view("<i8")
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel())) for x in (w, seg)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "w", "seg"])
 
-    prints = cut(rows.select(F.col(key), F.col(text).cast("binary")).mapInArrow(batches, "key long, w array<long>, seg array<long>"))
+    prints = cut(rows.mapInArrow(batches, "key long, w array<long>, seg array<long>"))
     nodes = cut(prints.groupBy("w").agg(F.min("key").alias("id"), F.first("seg").alias("seg")))
     fps = nodes.select("id", "w")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = fps.selectExpr("id as a", "w").alias("x"), fps.selectExpr("id as b", "w").alias("y")
-        return pairs.distinct().join(a, "a").join(b, "b").filter(_distance("x", "y", words) <= most).select("a", "b")
-
-    entries = nodes.select("id", F.posexplode("seg").alias("at", "value"))
-    least = entries.groupBy("at", "value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    star = entries.join(least, ["at", "value"]).filter("id <> b").selectExpr("id as a", "b")
-    first = cut(verified(star))
+        a, b = fps.selectExpr("id as a", "w as x"), fps.selectExpr("id as b", "w as y")
+        distance = F.expr(" + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(words)))
+        near = cut(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", distance.alias("d")).filter(F.col("d") <= doubtful))
+        return near.filter(F.col("d") <= sure).select("a", "b").unionByName(_similar(rows, key, text, near.filter(F.col("d") > sure).select("a", "b"), size, similarity))
+
+    entries = nodes.select("id", F.explode("seg").alias("value"))
+    least = entries.groupBy("value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(verified(entries.join(least, "value").filter("id <> b").selectExpr("id as a", "b")))
     part = components(first)
-    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("at", "value", "id", F.coalesce("component", "id").alias("part")))
+    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("component", "id").alias("part")))
 
+    # of a bucket each look-up meets components first, then the members of those that aren't its own
     masks = F.array(*[F.lit(m).cast("long") for m in ball(width, 1)])
-    probes = entries.withColumn("mask", F.explode(masks)).filter("(value & mask) = 0").selectExpr("at", "value ^ mask as value", "id as a", "part as part_a")
-    met = entries.select("at", "value", "part").distinct()
-    met = probes.join(met, ["at", "value"]).filter("part <> part_a").drop("part_a")
-    pairs = met.join(entries, ["at", "value", "part"]).selectExpr("least(a, id) as a", "greatest(a, id) as b")
-    links = first.unionByName(verified(pairs))
-    found = components(links)
+    probes = entries.withColumn("mask", F.explode(masks)).filter("(value & mask) = 0").selectExpr("value ^ mask as value", "id as a", "part as part_a")
+    met = probes.join(entries.select("value", "part").distinct(), "value").filter("part <> part_a").drop("part_a")
+    pairs = met.join(entries, ["value", "part"]).selectExpr("least(a, id) as a", "greatest(a, id) as b")
+    found = components(first.unionByName(verified(pairs)))
     # all rows of a node are copies of its least row
     out = prints.join(nodes.select("w", "id"), "w").join(found, F.col("id") == F.col("node"), "left")
     return out.select(F.col("key").alias(key), F.coalesce("component", "id").alias("keep"))

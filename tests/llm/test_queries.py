@@ -93,8 +93,8 @@ def test_near_duplicates(spark):
 
 
 def test_plan_of_the_fingerprint():
-    segments, width, most = simhash.plan(250_000, 0.8)
-    assert width == 24 and 8 <= segments <= 24 and 0.14 < most / (segments * width) < 0.16
+    segments, width, sure, doubtful = simhash.plan(250_000, 0.8)
+    assert width == 30 and 16 <= segments <= 32 and 0.1 < sure / (segments * width) < 0.15 < doubtful / (segments * width) < 0.22
     assert simhash.plan(10**10, 0.8)[1] > 36
 
 
