@@ -3,6 +3,8 @@
 A fingerprint is cut into segments. Two fingerprints that differ in at most r bits differ in at most r // m bits
 of one of m segments, so each fingerprint looks up the small Hamming ball around each of its segments in a table
 of segments, and the complete distance of what it finds is verified.
+
+Near copies by the similarity of their shingle sets are found without fingerprints, by prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, keyed, small, tune
-from .substring import mix
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
 
+#: Shingles that are counted at once when common ones are sought, and how many common ones are kept; both change costs only, no result.
+CHUNK = 1 << 22
+COMMON = 20_000
+
 
 def shingles(text: bytes | None, size: int) -> list[bytes]:
     """Word shingles of the text in ASCII lower case, repeats included; the whole sequence if it is shorter."""
@@ -100,7 +105,8 @@ def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int
     over pi. Segments have six bits more than number the documents, 30 at least, so a look-up finds few strangers at any
     size; there are as many as find a pair halfway between the least similarity and 1 with the probability ``recall``
     when one bit of a segment may differ. Distances from two standard deviations below the one that the least
-    similarity makes likely to three above it are in doubt.
+    similarity makes likely to three above it are in doubt. ``near_duplicate_classes`` doesn't use it: below that halfway
+    point such look-ups miss pairs.
     """
     width = min(48, max(30, max(1, n_docs).bit_length() + 6))
     p = _differ((1 + similarity) / 2)
@@ -111,35 +117,64 @@ def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int
     return segments, width, math.floor(bits * p - 2 * deviation), math.ceil(bits * p + 3 * deviation)
 
 
-def long_fingerprint(text: bytes | None, size: int, bits: int) -> np.ndarray:
-    """SimHash of ``bits`` bits (0 or 1 each) from mixes of the shingles' XXH64. No words: all 0."""
-    h = shingle_hashes(text, size)
-    if not len(h):
-        return np.zeros(bits, np.uint8)
-    counts = np.concatenate([bit_counts(mix(h, np.uint64(i + 1))) for i in range(-(-bits // 64))])
-    return (counts[:bits] * 2 > len(h)).astype(np.uint8)
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 of the distinct shingles, ascending."""
+    found = set(shingles(text, size))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
 
 
-def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
-    found = shingles(text, size)
-    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found))
+def common_shingles(rows: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, documents counted) of shingles of many documents, ascending; counted where a chunk of a partition has three or more."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            value, times = value[times > 2], times[times > 2]
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["value", "n"])
+
+        for b in parts:
+            for x in b.column(0).to_pylist():
+                held.append(shingle_hashes(x, size))
+                n += len(held[-1])
+                if n > CHUNK:
+                    yield chunk()
+                    held, n = [], 0
+        yield chunk()
+
+    counted = rows.select(text).mapInArrow(batches, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "value").limit(COMMON).collect()
+    value = np.array([r["value"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(value)
+    return value[order], np.array([r["n"] for r in found], np.int64)[order]
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes in one order of all shingles, common ones last: two sets of that similarity share one of these."""
+    n = len(hashes)
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, count))][: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
 def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' distinct shingles have that Jaccard similarity; shingles are 32-bit hashes."""
+    """The pairs (a, b) of keys whose texts' distinct shingles have that Jaccard similarity."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            found = [np.unique((shingle_hashes(t, size) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1).to_pylist()]
+            found = [shingle_hashes(t, size).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "s"])
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
@@ -151,56 +186,48 @@ def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
 def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, keep) of each row: ``keep`` is the least key among all rows that links lead to, its own if there are none.
 
-    Pairs that share a segment but for one bit are verified by the complete distance of their fingerprints and, where
-    that leaves a doubt, by their shingles. Equal fingerprints are one node. Nodes with an equal segment are first
-    linked to the least of them; look-ups of Hamming balls then pass over what is in one component already, so a large
-    group of near copies is never expanded into pairs, and no link between components is lost.
+    Links are exactly the pairs whose distinct shingles have that Jaccard similarity. Of each set only a prefix in one
+    order of all shingles is looked up: similar sets share a shingle of their prefixes, and the first that they share
+    leaves room for the overlap that they need. Every pair found so is compared by its shingles. Equal sets are one
+    node. Nodes are first linked to the least of those with a shingle of the prefix; look-ups then pass over what is in
+    one component already, so a large group of near copies is never expanded into pairs, and no link between
+    components is lost.
     """
     tune(rows.sparkSession)
     rows = rows.select(key, F.col(text).cast("binary").alias(text))
-    segments, width, sure, doubtful = plan(rows.count(), similarity)
-    bits = segments * width
-    words = -(-bits // 64)
-    # a look-up key is the segment's number above its bits
-    weights = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
-    number = np.arange(segments, dtype=np.int64) << width
+    common, times = common_shingles(rows, text, size)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            if not b.num_rows:
-                continue
-            f = np.stack([long_fingerprint(x, size, bits) for x in b.column(1).to_pylist()])
-            seg = f.reshape(-1, segments, width).astype(np.int64) @ weights + number
-            padded = np.zeros((len(f), words * 64), np.uint8)
-            padded[:, :bits] = f
-            w = np.packbits(padded, axis=1, bitorder="little").view("<i8")
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel())) for x in (w, seg)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["key", "w", "seg"])
-
-    prints = cut(rows.mapInArrow(batches, "key long, w array<long>, seg array<long>"))
-    nodes = cut(prints.groupBy("w").agg(F.min("key").alias("id"), F.first("seg").alias("seg")))
-    fps = nodes.select("id", "w")
+            found = [shingle_hashes(x, size) for x in b.column(1).to_pylist()]
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
+            n = pa.array([len(x) for x in found], pa.int32())
+            first = pa.array([prefix(x, common, times, similarity).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, n, first], ["key", "s", "n", "first"])
+
+    prints = cut(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>"))
+    nodes = cut(prints.groupBy("s").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
+    entries = nodes.select("id", "n", F.posexplode("first").alias("pos", "value"))
+    shared = entries.groupBy("value").count().filter("count > 1").select("value")
+    entries = cut(entries.join(shared, "value"))
+    # what may follow the first common shingle suffices for the overlap of similar sets
+    fits = f"least(n - pos, m - place) + 1e-9 >= {similarity / (1 + similarity)!r}D * (n + m)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = fps.selectExpr("id as a", "w as x"), fps.selectExpr("id as b", "w as y")
-        distance = F.expr(" + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(words)))
-        near = cut(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", distance.alias("d")).filter(F.col("d") <= doubtful))
-        return near.filter(F.col("d") <= sure).select("a", "b").unionByName(_similar(rows, key, text, near.filter(F.col("d") > sure).select("a", "b"), size, similarity))
-
-    entries = nodes.select("id", F.explode("seg").alias("value"))
-    least = entries.groupBy("value").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    first = cut(verified(entries.join(least, "value").filter("id <> b").selectExpr("id as a", "b")))
+        return _similar(rows, key, text, cut(pairs.distinct()), size, similarity)
+
+    least = entries.groupBy("value").agg(F.min(F.struct("id", "n", "pos")).alias("c")).selectExpr("value", "c.id as b", "c.n as m", "c.pos as place")
+    first = cut(verified(entries.join(least, "value").filter(f"id <> b and {fits}").selectExpr("id as a", "b")))
     part = components(first)
-    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("component", "id").alias("part")))
+    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("value", "id", "n", "pos", F.coalesce("component", "id").alias("part")))
 
     # of a bucket each look-up meets components first, then the members of those that aren't its own
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, 1)])
-    probes = entries.withColumn("mask", F.explode(masks)).filter("(value & mask) = 0").selectExpr("value ^ mask as value", "id as a", "part as part_a")
-    met = probes.join(entries.select("value", "part").distinct(), "value").filter("part <> part_a").drop("part_a")
-    pairs = met.join(entries, ["value", "part"]).selectExpr("least(a, id) as a", "greatest(a, id) as b")
+    probes = entries.selectExpr("value", "id as a", "n as m", "pos as place", "part as part_a")
+    met = probes.join(entries.select("value", "part").distinct(), "value").filter("part < part_a").drop("part_a")
+    pairs = met.join(entries, ["value", "part"]).filter(fits).selectExpr("least(a, id) as a", "greatest(a, id) as b")
     found = components(first.unionByName(verified(pairs)))
     # all rows of a node are copies of its least row
-    out = prints.join(nodes.select("w", "id"), "w").join(found, F.col("id") == F.col("node"), "left")
+    out = prints.select("key", "s").join(nodes.select("s", "id"), "s").join(found, F.col("id") == F.col("node"), "left")
     return out.select(F.col("key").alias(key), F.coalesce("component", "id").alias("keep"))
 
 

@@ -92,6 +92,32 @@ def test_near_duplicates(spark):
     assert simhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def jaccard(x, y):
+    x, y = (set(simhash.shingles(t.encode(), 5)) for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_at_the_least_similarity(spark):
+    """All pairs of similarity 0.80 to 0.85 are found, and none of 0.75 to 0.80."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts, near = [], 0
+    for _ in range(200):
+        base = r.choices(words, k=r.randint(60, 400))
+        edited = list(base)
+        while jaccard(" ".join(base), " ".join(edited)) > 0.85:
+            edited[r.randrange(len(base))] = "changed"
+        j = jaccard(" ".join(base), " ".join(edited))
+        if j >= 0.75:
+            near += j >= 0.8
+            texts += [" ".join(base), " ".join(edited)]
+    assert near > 100
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert simhash.without_near_duplicates(df).count() == len(texts) - near
+
+
 def test_plan_of_the_fingerprint():
     segments, width, sure, doubtful = simhash.plan(250_000, 0.8)
     assert width == 30 and 16 <= segments <= 32 and 0.1 < sure / (segments * width) < 0.15 < doubtful / (segments * width) < 0.22
