@@ -118,6 +118,19 @@ def test_near_duplicates_at_the_least_similarity(spark):
     assert simhash.without_near_duplicates(df).count() == len(texts) - near
 
 
+def test_a_repeated_line_makes_no_near_duplicates(spark):
+    """Different texts that share a line many times over stay apart."""
+    import random
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(r.choices(words, k=12))
+    texts = [" ".join([line] * r.randint(20, 100) + r.choices(words, k=r.randint(60, 150))) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert max(jaccard(x, y) for x in texts for y in texts if x != y) < 0.3
+    assert simhash.without_near_duplicates(df).count() == 40
+
+
 def test_plan_of_the_fingerprint():
     segments, width, sure, doubtful = simhash.plan(250_000, 0.8)
     assert width == 30 and 16 <= segments <= 32 and 0.1 < sure / (segments * width) < 0.15 < doubtful / (segments * width) < 0.22
