@@ -131,6 +131,21 @@ def test_a_repeated_line_makes_no_near_duplicates(spark):
     assert simhash.without_near_duplicates(df).count() == 40
 
 
+def test_repeats_of_a_line_do_not_hide_near_duplicates(spark):
+    """Similarity is of distinct shingles: how often a copy repeats a line makes no difference."""
+    import random
+
+    r = random.Random(10)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(20):
+        body, line = " ".join(r.choices(words, k=300)), " ".join(r.choices(words, k=12))
+        texts += [" ".join([body] + [line] * n) for n in (2, r.randint(10, 40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert all(jaccard(x, y) == 1 for x, y in zip(texts[::2], texts[1::2]))
+    assert simhash.without_near_duplicates(df).count() == 20
+
+
 def test_plan_of_the_fingerprint():
     segments, width, sure, doubtful = simhash.plan(250_000, 0.8)
     assert width == 30 and 16 <= segments <= 32 and 0.1 < sure / (segments * width) < 0.15 < doubtful / (segments * width) < 0.22
