@@ -2,7 +2,8 @@
 
 Golden-ratio points, mapped through the cumulative weights, name a source for each slot; slots are ranked per
 source; rank r takes block r of the source, whose documents are shuffled, laid end to end and cut into blocks of
-equally many words. After the last block a source starts over.
+equally many words. After the last block a source starts over. The schedule takes whole blocks up to a source's
+target; what is left of the target then follows word by word, so every source meets it at any size of its blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut, keyed
 
 GOLDEN = 0.6180339887498949
-#: The schedule has about so many slots at any size of the corpus; a source's words are within a few slots of its target.
+#: The schedule has about so many slots at any size of the corpus; what they leave of a source's target is settled exactly.
 SLOTS = 1 << 17
 #: Sources are a mixture's parameters: a list that the driver holds. More than this is refused.
 MAX_SOURCES = 100_000
@@ -51,7 +52,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (3, 1, 2), cap: fl
 
     Sources by code point, null last, weigh ``weights`` in turn. Null and empty texts have size 0 and are never
     taken; repeated rows are documents of their own; an empty table gives no rows. No document is taken more
-    than ``cap`` times over when cap is a whole number.
+    than ``cap`` times over when cap is a whole number. The words taken of a source are its target to the nearest whole.
     """
     spark = docs.sparkSession
     carried = [c for c in carry if c not in ("source", "size")]
@@ -71,7 +72,9 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (3, 1, 2), cap: fl
 
     # the schedule: slot -> source -> rank -> block
     edge = np.cumsum(np.array(share)) / max(total, 1e-300)
-    most = [int(cap * b) for b in blocks]
+    goal = [round(t) for t in share]
+    # the slots whose blocks are within the target
+    most = [t // s * b + t % s // block if s else 0 for t, s, b in zip(goal, sizes, blocks)]
 
     def deal(batches):
         for x in batches:
@@ -81,13 +84,23 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (3, 1, 2), cap: fl
 
     n_slots = -(-int(np.ceil(total)) // block) if found else 0
     limits = spark.createDataFrame([(i, b, m) for i, (b, m) in enumerate(zip(blocks, most)) if b], "sid int, n_blocks long, most long")
-    uses = (
+    uses = cut(
         spark.range(n_slots).mapInPandas(deal, "id long, sid int")
         .selectExpr("sid", "row_number() over (partition by sid order by id) - 1L as rank")  # at most `slots` rows in all
         .join(F.broadcast(limits), "sid").filter("rank < most")
         .groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block")).agg(F.count("*").alias("uses"))
     )
 
+    # the rest of each target: the words of the source's stream, over and over, from where its slots end
+    dealt = {r["sid"]: r["n"] for r in uses.groupBy("sid").agg(F.sum("uses").alias("n")).collect()}
+    ends = [dealt.get(i, 0) // b * s + dealt.get(i, 0) % b * block if b else 0 for i, (s, b) in enumerate(zip(sizes, blocks))]
+    rest = spark.createDataFrame([(i, e, t) for i, (e, t) in enumerate(zip(ends, goal)) if e < t], "sid int, start long, stop long")
+
+    def before(at: str) -> str:
+        """Words of the document among the first ``at`` words of the endless stream."""
+        return f"({at} div source_size * size + greatest(0L, least(size, {at} % source_size - at)))"
+
+
     # the stream of each source: documents in hashed order, starts by sums of hash buckets, then within a bucket
     rows = base.join(F.broadcast(table), base["source"].eqNullSafe(table["src"])).drop("src")
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("__row")))
@@ -99,7 +112,9 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple = (3, 1, 2), cap: fl
     pieces = placed.filter("size > 0").select("__row", "sid", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     pieces = pieces.selectExpr("__row", "sid", "block", f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block}) as words")
     taken = pieces.join(uses, ["sid", "block"]).groupBy("__row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    return placed.join(taken, "__row", "left").select("__row", *carried, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    placed = placed.join(F.broadcast(rest), "sid", "left").withColumn("left", F.when(F.col("stop").isNotNull(), F.expr(f"{before('stop')} - {before('start')}")).otherwise(0))
+    whole = F.coalesce("taken", F.lit(0)) + F.col("left")
+    return placed.join(taken, "__row", "left").select("__row", *carried, "source", "size", "source_size", "target", whole.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

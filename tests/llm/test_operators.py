@@ -177,6 +177,20 @@ def test_mixing(docs, prose):
     assert all(abs(words[s] - target[s]) <= longest for s in names)
 
 
+def test_mixing_of_small_sources(spark):
+    """Sources of less than a block, and of one and a half, meet their targets beside a large one."""
+    sizes = {"a": [100] * 400, "b": [30, 7], "c": [1], "d": [90] * 10, "e": [250, 1250]}
+    rows = [(f"{s}{i}", " ".join(["w"] * n), s) for s, found in sizes.items() for i, n in enumerate(found)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(3)
+    for slots in (1, 60, 1 << 17):
+        taken, target = Counter(), {}
+        for r in mixing.mix(docs, slots=slots).collect():
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert 0 <= r.taken <= 2 * r.size
+        assert sorted(target) == sorted(sizes) and all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
