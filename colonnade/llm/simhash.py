@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, keyed, small, tune
@@ -206,18 +206,19 @@ def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), digests, n, first], ["key", "s", "n", "first"])
 
     prints = cut(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>"))
-    nodes = cut(prints.groupBy("s").agg(F.min("key").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")))
-    entries = nodes.select("id", "n", F.posexplode("first").alias("pos", "value"))
-    shared = entries.groupBy("value").count().filter("count > 1").select("value")
-    entries = cut(entries.join(shared, "value"))
+    nodes = cut(prints.groupBy("s").agg(F.min("key").alias("id")))
+    entries = prints.join(small(nodes.select(F.col("id").alias("key"))), "key", "left_semi").select(F.col("key").alias("id"), "n", F.posexplode("first").alias("pos", "value"))
+    # entries move once; most shingles stand in one set only
+    bucket = Window.partitionBy("value")
+    entries = entries.withColumn("c", F.min(F.struct("id", "n", "pos")).over(bucket)).withColumn("count", F.count("*").over(bucket))
+    entries = cut(entries.filter("count > 1").selectExpr("value", "id", "n", "pos", "c.id as b", "c.n as m", "c.pos as place"))
     # what may follow the first common shingle suffices for the overlap of similar sets
     fits = f"least(n - pos, m - place) + 1e-9 >= {similarity / (1 + similarity)!r}D * (n + m)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _similar(rows, key, text, cut(pairs.distinct()), size, similarity)
 
-    least = entries.groupBy("value").agg(F.min(F.struct("id", "n", "pos")).alias("c")).selectExpr("value", "c.id as b", "c.n as m", "c.pos as place")
-    first = cut(verified(entries.join(least, "value").filter(f"id <> b and {fits}").selectExpr("id as a", "b")))
+    first = cut(verified(entries.filter(f"id <> b and {fits}").selectExpr("id as a", "b")))
     part = components(first)
     entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("value", "id", "n", "pos", F.coalesce("component", "id").alias("part")))
 
