@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: ``[\x20\x09-\x0D]``; also what ``bytes.split()`` splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 
-#: A side of a join is broadcast if it was counted and has no more rows than this (about 40 bytes each); else it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A list of files is broadcast up to so many paths, else joined.
+BROADCAST_ROWS = 200_000
+
+#: Bytes that a broadcast side may have, by its count and the width given for a row.
+BROADCAST_BYTES = 16 << 20
+
+#: A row's key is the rank of its file above so many bits of its place in it, as in Spark's own increasing ids.
+PLACE_BITS = 33
 
 #: Rows per Arrow batch: keeps a batch of very long texts small.
 ARROW_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, because one text may hold megabytes."""
+    """Small Arrow batches, because one text may hold megabytes. The setting holds until the result is read, so it stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
@@ -43,39 +51,66 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if it is counted to be small; for narrow tables that are already written."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
+    """With a broadcast hint if it is counted to have at most BROADCAST_BYTES at that width of a row; for tables that are already written."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Spool:
     """A compressed Parquet table in the shared folder, deleted by ``drop()`` once everything read from it is written."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+        """``by``: a column that gets a folder for each of its values."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/colonnade-{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """The same rows, dealt to the same partitions each time they are read.
+def _file_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` stands for one row of a Parquet table, the same one whenever it is read: a scan below projections and filters that always give the same."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
 
-    Plans of scans, projections and filters are so already; others (shuffles, adaptive ones) are written out first.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return cut(df) if any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "Sample")) else df
 
+def keyed(docs: DataFrame, *columns: str | Column, key: str = "__row") -> DataFrame:
+    """The columns and a key for each row, so that repeated rows and repeated or null ids stay apart.
 
-def keyed(docs: DataFrame, *columns: str, key: str = "__row") -> DataFrame:
-    """The named columns and a key for each row, its place among the partitions, so that repeated rows and repeated or null ids stay apart."""
-    return stable(docs.select(*columns)).withColumn(key, F.monotonically_increasing_id())
+    The key of a row of Parquet files is the rank of its file's path and its place in that file, so it does not depend
+    on how a scan is cut into tasks, and runs over the same files agree. Other inputs are written to the shared folder
+    first; there a key is a row's place among the files written. The bits above ``PLACE_BITS`` are the file.
+    """
+    if not _file_scan(docs):
+        return cut(docs.select(*columns)).withColumn(key, F.monotonically_increasing_id())
+    meta = docs.metadataColumn("_metadata")
+    rows = docs.select(*columns, meta["row_index"].alias("__place"), meta["file_path"].alias("__file"))
+    names = rows.columns[:-2]
+    files = sorted(docs.inputFiles())
+    if len(files) > 1:
+        # paths of local files come with one or three slashes
+        paths = {p: i for i, f in enumerate(files) for p in (f, re.sub("^file:/+", "file:/", f))}
+        table = docs.sparkSession.createDataFrame(pa.table({"__path": list(paths), "__rank": pa.array(paths.values(), pa.int64())}))
+        # the driver holds the list of files anyway
+        rows = rows.join(F.broadcast(table) if len(paths) <= BROADCAST_ROWS else table, F.col("__file") == F.col("__path"), "left")
+        rank = F.coalesce("__rank", F.raise_error(F.lit("a file came after the list of files was made")).cast("long"))
+    else:
+        rank = F.lit(0).cast("long")
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.shiftleft(rank, PLACE_BITS).bitwiseOR(F.col("__place")).alias(key))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

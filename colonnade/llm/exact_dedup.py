@@ -1,12 +1,15 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. Each partition of the documents hashes its normalised texts to 48 bits and sends, to the owner of each hash
-   range, the sorted distinct hashes as a Golomb (Rice) code of their gaps.
-2. An owner answers each sender with a bitmap: which of its hashes another partition sent too.
-3. The partitions, read again and zipped with their answers (no shuffle of the texts), send on only suspects: one row per
-   distinct suspect text and partition. Grouping those rows by the text itself is the byte verification.
-
-Equal texts meet as one row per partition, so a group with a third of all rows is no load on one task.
+1. Each task hashes its normalised texts to 48 bits and sends, to the owner of each hash range, the sorted distinct
+   hashes of each file that it reads as a Golomb (Rice) code of their gaps, with a mark at those that it has twice.
+2. An owner answers each message with a bitmap: which of its hashes another message has too, or this one twice. The
+   answers stand by file in the shared folder.
+3. The documents are read once more, a batch at a time. Each task looks up the answers of the files that it reads and
+   sends on only suspects, one row per distinct text and batch. Grouping those rows by the text itself is the byte
+   verification.
+
+Files and rows are named by ``keyed``, so the two readings need not be cut into the same tasks. Equal texts meet as
+one row per batch, so a group with a third of all rows is no load on one task.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.dataset as ds
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, cut, partitions, stable, tune
+from .common import PLACE_BITS, SPACE, Spool, cut, keyed, partitions, tune
 
 HASH_BITS = 48
+#: Hash ranges: as many as shuffle partitions, and one more for so many texts, so that an owner's part stays small.
+OWNER_ROWS = 4_000_000
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -59,91 +65,123 @@ def _low(owner: int, owners: int) -> int:
 
 
 def _by_owner(hashes: np.ndarray, owners: int):
-    """(owner, its slice) of sorted hashes."""
-    edges = np.array([_low(o, owners) for o in range(owners + 1)], np.uint64)
-    cuts = np.searchsorted(hashes, edges)
+    """(owner, from, to) of the slices of sorted hashes."""
+    cuts = np.searchsorted(hashes, np.array([_low(o, owners) for o in range(owners + 1)], np.uint64)).tolist()
     for o in range(owners):
         if cuts[o] < cuts[o + 1]:
-            yield o, hashes[cuts[o] : cuts[o + 1]]
+            yield o, cuts[o], cuts[o + 1]
 
 
 def _fingerprint(digest: bytes) -> int:
     return int.from_bytes(digest[: HASH_BITS // 8], "big")
 
 
+_MESSAGE = "owner int, file long, n int, k int, unary binary, rest binary, twice binary"
+_ANSWER = "file long, owner int, n int, k int, unary binary, rest binary, bitmap binary"
+
+
+def _suspect_hashes(folder: str, file: int, owners: int) -> set[int]:
+    """The hashes of a file's texts whose answers say that they are not alone."""
+    found: set[int] = set()
+    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    # a file without suspects has no folder
+    if store.get_file_info(f"{root}/file={file}").type == fs.FileType.NotFound:
+        return found
+    for b in ds.dataset(f"{root}/file={file}", filesystem=store, format="parquet").to_batches():
+        for m in b.to_pylist():
+            own = golomb_decode(m["n"], m["k"], m["unary"], m["rest"], _low(m["owner"], owners))
+            found.update(own[np.unpackbits(np.frombuffer(m["bitmap"], np.uint8), count=m["n"]) == 1].tolist())
+    return found
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are after ASCII white space is deleted; null counts as empty, and all empty texts
     are one group. Of a group the row with the most code points stays, then the smallest id (null last), then the
-    first of repeated rows: exactly one row of a group has ``kept``. An empty table gives no rows; other columns
-    are not read.
+    first of repeated rows: exactly one row of a group has ``kept``. Very long texts move only where another text has
+    their hash. An empty table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     tune(spark)
-    owners = partitions(spark)
     id_type = docs.schema[doc_id].dataType
-    docs = stable(docs.select(F.col(doc_id), F.col(text).cast("binary")))
-    rows = docs.rdd
+    rows = keyed(docs, F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).select("__row", "__id", "__text")
+    owners = max(partitions(spark), -(-rows.count() // OWNER_ROWS))
 
     def send(parts):
-        hashes = [np.fromiter((_fingerprint(hashlib.sha256(normalise(x)).digest()) for x in b.column(1).to_pylist()), np.uint64, b.num_rows) for b in parts]
-        if hashes:
-            sent = [(o, *golomb_encode(own, _low(o, owners), _low(o + 1, owners))) for o, own in _by_owner(np.unique(np.concatenate(hashes)), owners)]
-            owner, n, k, unary, rest = zip(*sent) if sent else ((),) * 5
-            sender = [TaskContext.get().partitionId()] * len(sent)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int32()), pa.array(sender, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.int32()), pa.array(unary, pa.binary()), pa.array(rest, pa.binary())], ["owner", "sender", "n", "k", "unary", "rest"])
+        held: dict[int, list[np.ndarray]] = {}
+        for b in parts:
+            file = b.column(0).to_numpy() >> PLACE_BITS
+            own = np.fromiter((_fingerprint(hashlib.sha256(normalise(x)).digest()) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            for f in np.unique(file).tolist():
+                held.setdefault(f, []).append(own[file == f])
+        for f, own in held.items():
+            values, times = np.unique(np.concatenate(own), return_counts=True)
+            sent = [(o, f, *golomb_encode(values[a:z], _low(o, owners), _low(o + 1, owners)), np.packbits(times[a:z] > 1).tobytes()) for o, a, z in _by_owner(values, owners)]
+            columns = [pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["owner", "file", "n", "k", "unary", "rest", "twice"])
 
     def answer(key, messages):
-        low = _low(key[0].as_py(), owners)
-        got = [(m["sender"], golomb_decode(m["n"], m["k"], m["unary"], m["rest"], low)) for m in messages.to_pylist()]
-        values, times = np.unique(np.concatenate([own for _, own in got]), return_counts=True)
-        shared = values[times > 1]
-        bitmaps = [np.packbits(np.isin(own, shared, assume_unique=True)).tobytes() for _, own in got]
-        return pa.table({"sender": pa.array([s for s, _ in got], pa.int32()), "owner": pa.array([key[0].as_py()] * len(got), pa.int32()), "bitmap": pa.array(bitmaps, pa.binary())})
-
-    sent = docs.mapInArrow(send, "owner int, sender int, n int, k int, unary binary, rest binary")
-    replies = cut(sent.groupBy("owner").applyInArrow(answer, "sender int, owner int, bitmap binary")).rdd.map(lambda r: (r[0], (r[1], bytes(r[2]))))
-    replies = replies.partitionBy(rows.getNumPartitions(), int).mapPartitions(lambda part: [dict(x[1] for x in part)])
-    whole = rows.mapPartitions(lambda part: [[tuple(x) for x in part]])
-    if more := replies.getNumPartitions() - whole.getNumPartitions():
-        whole = whole.union(sc.parallelize([], more).mapPartitions(lambda part: [list(part)]))
-
-    def suspects(sender, part):
-        for own, bitmaps in part:
+        owner = key[0].as_py()
+        got = messages.to_pylist()
+        lists = [golomb_decode(m["n"], m["k"], m["unary"], m["rest"], _low(owner, owners)) for m in got]
+        values, times = np.unique(np.concatenate(lists), return_counts=True)
+        shared, out = values[times > 1], []
+        for m, own in zip(got, lists):
+            bits = np.isin(own, shared, assume_unique=True) | (np.unpackbits(np.frombuffer(m["twice"], np.uint8), count=len(own)) == 1)
+            if bits.any():
+                out.append((m["file"], owner, m["n"], m["k"], m["unary"], m["rest"], np.packbits(bits).tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, kinds)]
+        return pa.Table.from_arrays(columns, ["file", "owner", "n", "k", "unary", "rest", "bitmap"])
+
+    sent = rows.select("__row", "__text").mapInArrow(send, _MESSAGE)
+    answers = Spool(sent.groupBy("owner").applyInArrow(answer, _ANSWER).repartition(partitions(spark), "file"), "answers", by="file")
+    folder = answers.path
+
+    def mark(parts):
+        known: dict[int, set[int]] = {}
+        for b in parts:
+            keys, ids = b.column(0).to_pylist(), b.column(1)
             texts: dict[bytes, list] = {}
-            for at, (i, x) in enumerate(own):
+            for at, x in enumerate(b.column(2).to_pylist()):
                 raw = bytes(x or b"")
-                texts.setdefault(normalise(raw), []).append((len(raw.decode("utf-8", "replace")), i, at))
-            digests = {x: hashlib.sha256(x) for x in texts}
-            sent = np.unique(np.fromiter((_fingerprint(d.digest()) for d in digests.values()), np.uint64))
-            shared = {int(h) for o, mine in _by_owner(sent, owners) for h in mine[np.unpackbits(np.frombuffer(bitmaps[o], np.uint8), count=len(mine)) == 1]}
+                texts.setdefault(normalise(raw), []).append((len(raw.decode("utf-8", "replace")), at))
+            plain = ids.to_pylist()
+            out = []
             for x, members in texts.items():
-                n, i, at = min(members, key=lambda m: (-m[0], m[1] is None, m[1] if m[1] is not None else 0, m[2]))
-                suspect = len(members) > 1 or _fingerprint(digests[x].digest()) in shared
-                yield sender, digests[x].hexdigest(), bytearray(x) if suspect else None, n, i, at, [(m[1], m[2]) for m in members]
+                n, at = min(members, key=lambda m: (-m[0], plain[m[1]] is None, plain[m[1]] if plain[m[1]] is not None else 0, keys[m[1]]))
+                digest = hashlib.sha256(x)
+                file = keys[at] >> PLACE_BITS
+                if file not in known:
+                    # a task reads its files one after another
+                    known = {**dict(list(known.items())[-3:]), file: _suspect_hashes(folder, file, owners)}
+                suspect = len(members) > 1 or _fingerprint(digest.digest()) in known[file]
+                out.append((digest.hexdigest(), x if suspect else None, n, at, keys[at], [{"id": plain[m[1]], "key": keys[m[1]]} for m in members]))
+            sha, body, n, at, key, members = zip(*out) if out else ((),) * 6
+            kind = pa.list_(pa.struct([("id", ids.type), ("key", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sha, pa.string()), pa.array(body, pa.binary()), pa.array(n, pa.int64()), ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(members, kind)],
+                ["text_sha256", "body", "n", "best_id", "best_key", "members"],
+            )
 
     schema = T.StructType([
-        T.StructField("sender", T.IntegerType()), T.StructField("text_sha256", T.StringType()), T.StructField("body", T.BinaryType()),
-        T.StructField("n", T.LongType()), T.StructField("best_id", id_type), T.StructField("best_at", T.LongType()),
-        T.StructField("members", T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("at", T.LongType())]))),
+        T.StructField("text_sha256", T.StringType()), T.StructField("body", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("best_id", id_type), T.StructField("best_key", T.LongType()),
+        T.StructField("members", T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType())]))),
     ])
-    marked = cut(spark.createDataFrame(whole.zip(replies).mapPartitionsWithIndex(suspects), schema, verifySchema=False))
+    marked = cut(rows.mapInArrow(mark, schema))
+    answers.drop()
 
     suspect = marked.filter("body is not null")
-    first = F.min(F.struct((-F.col("n")).alias("n"), F.col("best_id").isNull().alias("no_id"), "best_id", "sender", "best_at"))
+    first = F.min(F.struct((-F.col("n")).alias("n"), F.col("best_id").isNull().alias("no_id"), "best_id", "best_key"))
     verified = suspect.groupBy("text_sha256", "body").agg(F.sum(F.size("members")).alias("group_size"), first.alias("first"))
     verified = verified.groupBy("text_sha256").agg(F.count("*").alias("texts"), F.max("group_size").alias("group_size"), F.max("first").alias("first"))
     one_text = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.col("group_size"))
     verified = verified.select("text_sha256", one_text.alias("group_size"), "first")
 
     lone = marked.filter("body is null").select(
-        F.col("best_id").alias("doc_id"), F.col("best_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        F.col("best_id").alias(doc_id), F.col("best_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     grouped = suspect.drop("body", "n").join(verified, "text_sha256").withColumn("m", F.explode("members"))
-    grouped = grouped.select(
-        F.col("m.id").alias("doc_id"), F.col("first.best_id").alias("keep_id"), "group_size",
-        ((F.col("sender") == F.col("first.sender")) & (F.col("m.at") == F.col("first.best_at"))).alias("kept"), "text_sha256",
-    )
+    grouped = grouped.select(F.col("m.id").alias(doc_id), F.col("first.best_id").alias("keep_id"), "group_size", (F.col("m.key") == F.col("first.best_key")).alias("kept"), "text_sha256")
     return lone.unionByName(grouped)

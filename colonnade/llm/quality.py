@@ -6,6 +6,7 @@ It gives an expected grade and tail probabilities P(grade >= k), by which docume
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -31,22 +32,62 @@ def _level(name: str, share: float, steps: int = 20) -> list[bytes]:
     return [b"\x01%s%d" % (name.encode(), i) for i in range(1, int(share * steps) + 1)]
 
 
-def features(text: bytes | None) -> np.ndarray:
-    """Sorted distinct feature numbers of a whole text: its words, lower-cased, how they begin, and levels of its shape.
-
-    Levels are of the whole text and of its most extreme line, so that a poor passage shows in a long text.
-    """
-    raw = bytes(text or b"")
-    distinct = set(raw.translate(_WORD).split())
-    begins = {b"\x02" + w[:k] for w in distinct for k in (4, 5) if len(w) > k}
+def _named(raw: bytes, n_distinct: int) -> list[bytes]:
+    """Features of the shape of a text. Levels are of the whole text and of its most extreme line, so that a poor passage shows in a long text."""
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    shapes = [_shape(x) for x in lines if len(x) >= 40]
+    shapes = [_shape(x) for x in set(lines) if len(x) >= 40]
     whole = _shape(raw)
-    named = [b"\x01words%d" % min(12, len(distinct).bit_length()), *_level("same line", 1 - len(set(lines)) / max(1, len(lines)))]
+    named = [b"\x01words%d" % min(12, n_distinct.bit_length()), *_level("same line", 1 - len(set(lines)) / max(1, len(lines)))]
     for i, name in enumerate(("upper", "digit", "mark", "again", "lone")):
         named += _level(name, whole[i])
         named += _level("most " + name, max((x[i] for x in shapes), default=0.0))
-    return np.unique(np.fromiter((zlib.crc32(x) for x in (*distinct, *begins, *named)), np.int64) % DIMENSIONS).astype(np.int32)
+    return named
+
+
+def _numbers(names) -> list[int]:
+    return [zlib.crc32(x) % DIMENSIONS for x in names]
+
+
+def _of_word(word: bytes) -> list[int]:
+    """Feature numbers of a word and of how it begins."""
+    return _numbers([word, *(b"\x02" + word[:k] for k in (4, 5) if len(word) > k)])
+
+
+def features(text: bytes | None) -> np.ndarray:
+    """Sorted distinct feature numbers of a whole text: its words, lower-cased, how they begin, and levels of its shape."""
+    raw = bytes(text or b"")
+    distinct = set(raw.translate(_WORD).split())
+    found = set(_numbers(_named(raw, len(distinct))))
+    for w in distinct:
+        found.update(_of_word(w))
+    return np.array(sorted(found), np.int32)
+
+
+class Scorer:
+    """w.x of texts, one pass over the distinct words of each; remembers which features of a word have a weight."""
+
+    #: Words that are remembered at once.
+    WORDS = 500_000
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = dict(zip(np.flatnonzero(weights).tolist(), weights[weights != 0].tolist()))
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: bytes | None) -> float:
+        raw = bytes(text or b"")
+        distinct = set(raw.translate(_WORD).split())
+        found = set(_numbers(_named(raw, len(distinct)))) & self.weights.keys()
+        if len(self.known) > self.WORDS:
+            self.known.clear()
+        known = self.known
+        for w in distinct:
+            got = known.get(w)
+            if got is None:
+                got = known[w] = tuple(i for i in _of_word(w) if i in self.weights)
+            if got:
+                found.update(got)
+        # exact, so the order of a set makes no difference
+        return math.fsum(map(self.weights.__getitem__, found))
 
 
 def _shape(text: bytes) -> tuple[float, ...]:
@@ -69,11 +110,6 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -30, 30)))
 
 
-def _score(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """w.x of each row of present features."""
-    return np.array([weights[r].sum() for r in rows])
-
-
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 20, rate: float = 0.3, decay: float = 1e-5, least: float = 4.5, seed: int = 6) -> Model:
     """Minimises the negative log likelihood by AdaGrad over mini-batches in a seeded order.
 
@@ -87,12 +123,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int =
     c2 = np.full(len(cuts), 1e-8)
     rng = np.random.Generator(np.random.PCG64(seed))
     if rows:
-        every = np.concatenate(rows)
-        n = np.bincount(every, minlength=DIMENSIONS)
+        n = np.zeros(DIMENSIONS, np.int64)
+        for r in rows:
+            n[r] += 1
         telling = np.zeros(DIMENSIONS, bool)
         for k in range(1, n_grades):
             reach = (grades >= k).astype(float)
-            off = np.bincount(every, np.repeat(reach - reach.mean(), [len(r) for r in rows]), DIMENSIONS)
+            off = np.zeros(DIMENSIONS)
+            for r, x in zip(rows, reach - reach.mean()):
+                off[r] += x
             telling |= np.abs(off) >= least * max(reach.std(), 1e-9) * np.sqrt(np.maximum(n, 5))
         rows = [r[telling[r]] for r in rows]
     lens = np.array([len(r) for r in rows], np.int64)
@@ -133,10 +172,11 @@ def grade() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", n_grades: int = 3) -> Model:
-    """Fits on at most ``rows`` labelled documents, those whose hashed ids come first; only their features reach the driver.
+    """Fits on at most ``rows`` labelled documents, those whose hashed ids come first (ids of equal hashes by the id), in one task of an executor.
 
-    Labels without a grade or an id, and repeated labels of an id beyond the worst grade, are not used. Without
-    usable labels all documents get the same score.
+    Only the model reaches the driver. Labels without a grade or an id, and repeated labels of an id beyond the worst
+    grade, are not used; of documents with one id the least text is. Without usable labels all documents get the same
+    score.
     """
     tune(docs.sparkSession)
     graded = labels.select(F.col(doc_id).alias("__id"), grade().alias("grade")).filter("grade is not null and __id is not null")
@@ -148,20 +188,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str
         for b in parts:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], ["__id", "grade", "features"])
 
+    def solve(key, sample):
+        sample = sample.sort_by("__id")
+        lists = sample["features"].combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        model = fit([flat[a:b] for a, b in zip(offsets, offsets[1:])], sample["grade"].to_numpy().astype(np.int64), n_grades)
+        used = np.flatnonzero(model.weights)
+        return pa.table({"feature": [used.tolist()], "weight": [model.weights[used].tolist()], "threshold": [model.thresholds.tolist()]})
+
     kind = docs.schema[doc_id].dataType.simpleString()
     # at most `rows` ids, one text of each
     found = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "grade").agg(F.min("__text").alias("__text"))
-    got = found.mapInArrow(extract, f"__id {kind}, grade int, features array<int>").toArrow().sort_by("__id")
-    lists = got["features"].combine_chunks()
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([flat[a:b] for a, b in zip(offsets, offsets[1:])], got["grade"].to_numpy().astype(np.int64), n_grades)
+    sample = found.mapInArrow(extract, f"__id {kind}, grade int, features array<int>")
+    # the sample is bounded, and so are its features
+    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(solve, "feature array<long>, weight array<double>, threshold array<double>").first()
+    if got is None:
+        return fit([], np.zeros(0, np.int64), n_grades)
+    weights = np.zeros(DIMENSIONS)
+    weights[got["feature"]] = got["weight"]
+    return Model(weights, np.array(got["threshold"]))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per row of ``docs``: the carried columns, expected_grade, tail_1 and on (P(grade >= k)).
 
-    The whole text counts; null counts as empty and is scored like any text; repeated rows are rows of their own;
-    an empty table gives no rows; other columns are not read.
+    The whole text counts, however long; null counts as empty and is scored like any text; repeated rows are rows of
+    their own and get equal scores; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers
@@ -169,8 +221,9 @@ def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str =
 
     def run(parts):
         m = shared.value
+        scorer = Scorer(m.weights)
         for b in parts:
-            tails = m.tails(_score(m.weights, [features(t) for t in b.column(len(carry)).to_pylist()]))
+            tails = m.tails(np.fromiter(map(scorer, b.column(len(carry)).to_pylist()), float, b.num_rows))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(tails.sum(axis=1)), *[pa.array(np.ascontiguousarray(tails[:, k])) for k in range(n)]], [*carry, "expected_grade", *[f"tail_{k + 1}" for k in range(n)]])
 
     source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).cast("binary").alias("__text"))

@@ -31,10 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 

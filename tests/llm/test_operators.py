@@ -230,17 +230,36 @@ def test_decontamination(spark, docs, prose):
 def test_shuffled_sides_give_the_same(spark, docs, monkeypatch):
     bench = docs.filter("text is not null").selectExpr("doc_id as item_id", "text").limit(20)
     want = rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit", "items")
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "n_hit", "items") == want
 
 
+def plain_near(words, window, width):
+    need = Counter(window)
+    return any(not need - Counter(words[s : s + width]) for s in range(len(words)))
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(0, "x five one y two four three z"), (1, "one two three four"), (2, "one two a b c d e f three four five")], "__row long, text string")
-    items = spark.createDataFrame([(0, "one two three four five")], "__row long, text string")
-    index = decontaminate.Index(docs, items)
-    assert {r.row for r in index.proximity(10, slop=3).collect()} == {0}
-    assert index.phrases(4).count() == 1
-    index.drop()
+    """All words of a window, as often as it has them, in any order in one stretch: against brute force."""
+    import random
+
+    r = random.Random(12)
+    texts = ["x five one y two four three z", "one two three four", "one two a b c d e f three four five", "x bb aa x bb cc y", "cc bb x aa y", None, "", "solo", "one one two"]
+    texts += [" ".join(r.choices("aa bb cc dd one two x y z w".split(), k=r.randint(1, 60))) for _ in range(60)]
+    bench = ["one two three four five", "aa bb cc", "Solo", None, "one one two", "aa bb cc dd one two one bb cc aa dd x", "bb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    for size, slop in ((10, 3), (3, 1), (4, 0), (10, 5)):
+        got = {r.doc_id: (set(r.items), set(r.near)) for r in decontaminate.decontaminate(docs, items, size, slop=slop).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            w, near = (t or "").split(), set()
+            for k, x in enumerate(bench):
+                v = low(x).split()
+                for s in range(max(1, len(v) - size + 1)) if v else ():
+                    if plain_near(w, v[s : s + size], len(v[s : s + size]) + slop):
+                        near.add(str(k))
+            assert got[i][1] == near and got[i][0] <= near, (t, size, slop)
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------

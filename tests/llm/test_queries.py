@@ -165,3 +165,30 @@ def test_pipeline(spark, duck):
     for r in got:
         sizes[r.shard] = sizes.get(r.shard, 0) + 1
     assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_sql_of_spans_on_odd_texts(spark, duck, tmp_path):
+    """op7 and op8 against their SQL on texts that the tables lack."""
+    from .test_operators import PII, SECRETS
+
+    texts = PII + SECRETS + ["GB82 WEST 1234 5698 7654 32, xGB82 WEST 1234 5698 7654 32 DE89370400440532013000", "DE89 3704 0044 0532 0130 00\nGB82WEST12345698765432", "a@b.cc " * 300 + "é +49 30 123456"]
+    rows = [(i, t, "en", f"s{i % 4}", 0) for i, t in enumerate(texts)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op7_secrets", "op8_pii"):
+        want = con.execute(ORACLE[name])
+        names = [d[0] for d in want.description]
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.select(names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name,text", [("op7_secrets", "password = hunter2hunter2 deadbeefdeadbeef00 aB3dE5gH7jK9mN1pQ3sT5é "), ("op8_pii", "a@b.cd 1.2.3.4 é 4111 1111 1111 1111, ")])
+def test_long_texts_take_time_in_proportion(spark, tmp_path, name, text):
+    """A text of 4 MB that is full of matches."""
+    import time
+
+    spark.createDataFrame([(1, text * (4_000_000 // len(text)), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = QUERIES[name](spark, str(tmp_path)).collect()[0]
+    assert time.time() - began < 20 and got.spans.count(",") > 100_000
