@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -77,6 +79,14 @@ class Spool:
     def drop(self) -> None:
         remove(self.spark, self.path)
 
+    def drop_at_exit(self) -> Spool:
+        def drop() -> None:
+            with contextlib.suppress(Exception):  # the session may be stopped already
+                self.drop()
+
+        atexit.register(drop)
+        return self
+
 
 def _file_scan(df: DataFrame) -> bool:
     """Whether each row of ``df`` stands for one row of a Parquet table, the same one whenever it is read: a scan below projections and filters that always give the same."""

@@ -18,82 +18,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
-import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLACE_BITS, SPACE, Spool, cut, keyed, partitions, tune
-
-HASH_BITS = 48
-#: Hash ranges: as many as shuffle partitions, and one more for so many texts, so that an owner's part stays small.
-OWNER_ROWS = 4_000_000
+from .common import PLACE_BITS, SPACE, cut, keyed, tune
+from .exchange import HASH_BITS, among, exchange
 
 
 def normalise(text: bytes | None) -> bytes:
     return bytes(text or b"").translate(None, SPACE)
 
 
-def golomb_encode(sorted_hashes: np.ndarray, low: int, high: int) -> tuple[int, int, bytes, bytes]:
-    """Count, Rice parameter, unary quotients and binary remainders of the gaps of distinct sorted values in [low, high)."""
-    n = len(sorted_hashes)
-    if not n:
-        return 0, 0, b"", b""
-    gaps = np.diff(sorted_hashes, prepend=np.uint64(low)).astype(np.uint64)
-    k = max(0, int((high - low) // n).bit_length() - 1)
-    quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    unary = np.ones(int(quotient.sum()) + n, np.uint8)
-    unary[np.cumsum(quotient + 1) - 1] = 0
-    rest = ((gaps[:, None] >> np.arange(k - 1, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return n, k, np.packbits(unary).tobytes(), np.packbits(rest.ravel()).tobytes()
-
-
-def golomb_decode(n: int, k: int, unary: bytes, rest: bytes, low: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    ends = np.flatnonzero(np.unpackbits(np.frombuffer(unary, np.uint8)) == 0)[:n]
-    gaps = (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(k)
-    if k:
-        bits = np.unpackbits(np.frombuffer(rest, np.uint8), count=n * k).reshape(n, k).astype(np.uint64)
-        gaps += (bits << np.arange(k - 1, -1, -1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64) + np.uint64(low)
-
-
-def _low(owner: int, owners: int) -> int:
-    return -(-(owner << HASH_BITS) // owners)
-
-
-def _by_owner(hashes: np.ndarray, owners: int):
-    """(owner, from, to) of the slices of sorted hashes."""
-    cuts = np.searchsorted(hashes, np.array([_low(o, owners) for o in range(owners + 1)], np.uint64)).tolist()
-    for o in range(owners):
-        if cuts[o] < cuts[o + 1]:
-            yield o, cuts[o], cuts[o + 1]
-
-
 def _fingerprint(digest: bytes) -> int:
     return int.from_bytes(digest[: HASH_BITS // 8], "big")
 
 
-_MESSAGE = "owner int, file long, n int, k int, unary binary, rest binary, twice binary"
-_ANSWER = "file long, owner int, n int, k int, unary binary, rest binary, bitmap binary"
-
-
-def _suspect_hashes(folder: str, file: int, owners: int) -> set[int]:
-    """The hashes of a file's texts whose answers say that they are not alone."""
-    found: set[int] = set()
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
-    # a file without suspects has no folder
-    if store.get_file_info(f"{root}/file={file}").type == fs.FileType.NotFound:
-        return found
-    for b in ds.dataset(f"{root}/file={file}", filesystem=store, format="parquet").to_batches():
-        for m in b.to_pylist():
-            own = golomb_decode(m["n"], m["k"], m["unary"], m["rest"], _low(m["owner"], owners))
-            found.update(own[np.unpackbits(np.frombuffer(m["bitmap"], np.uint8), count=m["n"]) == 1].tolist())
-    return found
-
-
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -106,62 +46,35 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tune(spark)
     id_type = docs.schema[doc_id].dataType
     rows = keyed(docs, F.col(doc_id).alias("__id"), F.col(text).cast("binary").alias("__text")).select("__row", "__id", "__text")
-    owners = max(partitions(spark), -(-rows.count() // OWNER_ROWS))
 
-    def send(parts):
-        held: dict[int, list[np.ndarray]] = {}
-        for b in parts:
-            file = b.column(0).to_numpy() >> PLACE_BITS
-            own = np.fromiter((_fingerprint(hashlib.sha256(normalise(x)).digest()) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            for f in np.unique(file).tolist():
-                held.setdefault(f, []).append(own[file == f])
-        for f, own in held.items():
-            values, times = np.unique(np.concatenate(own), return_counts=True)
-            sent = [(o, f, *golomb_encode(values[a:z], _low(o, owners), _low(o + 1, owners)), np.packbits(times[a:z] > 1).tobytes()) for o, a, z in _by_owner(values, owners)]
-            columns = [pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["owner", "file", "n", "k", "unary", "rest", "twice"])
-
-    def answer(key, messages):
-        owner = key[0].as_py()
-        got = messages.to_pylist()
-        lists = [golomb_decode(m["n"], m["k"], m["unary"], m["rest"], _low(owner, owners)) for m in got]
-        values, times = np.unique(np.concatenate(lists), return_counts=True)
-        shared, out = values[times > 1], []
-        for m, own in zip(got, lists):
-            bits = np.isin(own, shared, assume_unique=True) | (np.unpackbits(np.frombuffer(m["twice"], np.uint8), count=len(own)) == 1)
-            if bits.any():
-                out.append((m["file"], owner, m["n"], m["k"], m["unary"], m["rest"], np.packbits(bits).tobytes()))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        columns = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, kinds)]
-        return pa.Table.from_arrays(columns, ["file", "owner", "n", "k", "unary", "rest", "bitmap"])
-
-    sent = rows.select("__row", "__text").mapInArrow(send, _MESSAGE)
-    answers = Spool(sent.groupBy("owner").applyInArrow(answer, _ANSWER).repartition(partitions(spark), "file"), "answers", by="file")
-    folder = answers.path
+    def hashes(b):
+        return b.column(0).to_numpy(), np.fromiter((_fingerprint(hashlib.sha256(normalise(x)).digest()) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
+
+    spool, answers = exchange(rows.select("__row", "__text"), hashes, rows.count())
 
     def mark(parts):
-        known: dict[int, set[int]] = {}
         for b in parts:
-            keys, ids = b.column(0).to_pylist(), b.column(1)
+            keys, ids = b.column(0).to_numpy(), b.column(1)
             texts: dict[bytes, list] = {}
             for at, x in enumerate(b.column(2).to_pylist()):
                 raw = bytes(x or b"")
                 texts.setdefault(normalise(raw), []).append((len(raw.decode("utf-8", "replace")), at))
-            plain = ids.to_pylist()
-            out = []
+            plain, places = ids.to_pylist(), keys.tolist()
+            out, found, file = [], [], []
             for x, members in texts.items():
-                n, at = min(members, key=lambda m: (-m[0], plain[m[1]] is None, plain[m[1]] if plain[m[1]] is not None else 0, keys[m[1]]))
+                n, at = min(members, key=lambda m: (-m[0], plain[m[1]] is None, plain[m[1]] if plain[m[1]] is not None else 0, places[m[1]]))
                 digest = hashlib.sha256(x)
-                file = keys[at] >> PLACE_BITS
-                if file not in known:
-                    # a task reads its files one after another
-                    known = {**dict(list(known.items())[-3:]), file: _suspect_hashes(folder, file, owners)}
-                suspect = len(members) > 1 or _fingerprint(digest.digest()) in known[file]
-                out.append((digest.hexdigest(), x if suspect else None, n, at, keys[at], [{"id": plain[m[1]], "key": keys[m[1]]} for m in members]))
+                found.append(_fingerprint(digest.digest()))
+                file.append(places[at] >> PLACE_BITS)
+                out.append((digest.hexdigest(), x, n, at, places[at], [{"id": plain[m[1]], "key": places[m[1]]} for m in members]))
             sha, body, n, at, key, members = zip(*out) if out else ((),) * 6
+            found, file = np.array(found, np.uint64), np.array(file, np.int64)
+            suspect = np.array([len(m) > 1 for m in members], bool)
+            for f in np.unique(file).tolist():
+                suspect |= (file == f) & among(found, answers.of(f)[0])
             kind = pa.list_(pa.struct([("id", ids.type), ("key", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sha, pa.string()), pa.array(body, pa.binary()), pa.array(n, pa.int64()), ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(members, kind)],
+                [pa.array(sha, pa.string()), pa.array(body, pa.binary(), mask=~suspect), pa.array(n, pa.int64()), ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(members, kind)],
                 ["text_sha256", "body", "n", "best_id", "best_key", "members"],
             )
 
@@ -170,7 +83,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         T.StructField("members", T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType())]))),
     ])
     marked = cut(rows.mapInArrow(mark, schema))
-    answers.drop()
+    spool.drop()
 
     suspect = marked.filter("body is not null")
     first = F.min(F.struct((-F.col("n")).alias("n"), F.col("best_id").isNull().alias("no_id"), "best_id", "best_key"))

@@ -1,15 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of reference blocks.
 
 A window is ``window`` consecutive words. The least hash among the phrases (``phrase`` words) of a window is its
-anchor; a run of windows with one anchor is a block. Blocks of all documents are the reference, indexed by anchor:
-equal windows have equal anchors, so each window is compared with everything it can equal in one bucket. The parse
-of a document then takes, from left to right, the longest factor whose windows all occur elsewhere in the
-reference; where a factor ends, the windows across its boundary have been looked up on their own, so that no
-repeat that straddles two factors is missed. Factors of at least a window are the duplicate spans.
-
-Only hashes meet in a bucket (the anchor's 64 bits and 48 of the window's), one row per block. Equal blocks of a
-batch are sent once. Anchors with very many blocks are dealt by window instead, each distinct window once per
-batch, so no bucket grows with one passage or phrase.
+anchor; a run of windows with one anchor is a block. Equal windows have equal anchors, so every window that another
+one equals is in a block whose anchor the corpus has more than once; an exchange of anchor hashes finds these.
+
+Those blocks of all documents, with their words, are the reference, indexed by anchor. In each bucket a block is parsed
+from left to right: at a window that occurs elsewhere it takes the longest factor that any reference block has, and
+goes on behind it. Where a factor ends, the windows across its boundary are looked up on their own, so no repeat that
+straddles two factors is missed. A factor names its reference (document and word), and its words are compared, as
+words, with those of the reference. Factors that go on in the same reference are joined; all are of a window at least
+and are the duplicate spans.
+
+Equal blocks of a task are sent once; the others take the first one as their reference. Anchors with very many blocks
+are dealt by window instead, each distinct window once per task, so no bucket grows with one passage or phrase.
 """
 
 from __future__ import annotations
@@ -18,20 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, partitions, tune
+from .common import PLACE_BITS, Spool, keyed, partitions, tune
+from .exchange import Answers, ByFile, among, exchange
 
 WINDOW, PHRASE = 35, 8
 #: Blocks of one anchor that are compared together; anchors with more are dealt by window.
-HOT_BLOCKS = 200_000
-#: Such anchors are listed up to this many (8 MB); the rest, if any, are compared together.
-MOST_HOT = 1_000_000
-#: Windows that a task sorts at once.
-CHUNK = 2_000_000
+HOT_BLOCKS = 20_000
+#: Windows that a task parses at once, and bytes of blocks that a task remembers as sent.
+CHUNK, SEEN_BYTES = 200_000, 64 << 20
+#: Blocks that a document is expected to have, for the size of the exchange only.
+_PER_DOCUMENT = 50
 _RUN = 32
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -72,16 +77,15 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def blocks(texts: list, window: int, phrase: int, hashes: bool = True):
-    """(document, first window, length, anchor) of each block of the texts, and all their window hashes in order."""
-    words = [bytes(t or b"").split() for t in texts]
+def blocks(words: list[list[bytes]], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, length, anchor) of each block of documents' words."""
     lengths = np.array([len(w) for w in words], np.int64)
     h = word_hashes([x for w in words if len(w) >= window for x in w])
     lengths[lengths < window] = 0
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    doc = np.repeat(np.arange(len(words)), lengths)
     if not len(h):
         none = np.zeros(0, np.int64)
-        return none, none, none, h, h
+        return none, none, none, h
     anchors = sliding_min(gram_hashes(h, phrase), window - phrase + 1)
     at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
     anchors, own = anchors[at], doc[at]
@@ -91,87 +95,143 @@ def blocks(texts: list, window: int, phrase: int, hashes: bool = True):
     first = np.flatnonzero(new)
     inside = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
     first = np.flatnonzero(inside % _RUN == 0)
-    lens = np.diff(first, append=len(at))
-    return own[first], start[first], lens, anchors[first], gram_hashes(h, window)[at] if hashes else None
-
-
-def _row_batches(key, row, start, n, known, data, offsets) -> pa.RecordBatch:
-    hashes = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(known), hashes],
-        ["key", "row", "start", "n", "known", "hashes"],
-    )
-
-
-_BLOCK = "key long, row long, start int, n int, known boolean, hashes binary"
-
-
-def _low48(w: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
-
-
-def _send(rows: np.ndarray, texts: list, window: int, phrase: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows for the index: a block with its window hashes, or with none where an equal one of this batch is sent."""
-    own, start, lens, anchor, w = blocks(texts, window, phrase)
-    if not len(own):
-        return
-    row, first = rows[own], np.cumsum(lens) - lens
-    is_hot = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
-    if is_hot.any():
-        each = np.repeat(is_hot, lens)
-        blk = np.repeat(np.arange(len(lens)), lens)[each]
-        key = mix(anchor[blk], w[each])
-        at = start[blk] + (np.arange(len(w)) - np.repeat(first, lens))[each]
-        _, lead, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        sent = np.zeros(len(key), bool)
-        sent[lead] = True
-        known = times[inverse] > 1
-        offsets = np.concatenate([[0], np.cumsum(sent * 6)])
-        yield _row_batches(np.where(sent, key, mix(key, row[blk].view(np.uint64))), row[blk], at, np.ones(len(key), np.int64), known, _low48(w[each][sent]).tobytes(), offsets)
-        cold = ~each
-        w, keep = w[cold], ~is_hot
-        row, start, lens, anchor = row[keep], start[keep], lens[keep], anchor[keep]
-        if not len(row):
-            return
-        first = np.cumsum(lens) - lens
-    inside = (np.arange(len(w)) - np.repeat(first, lens)).astype(np.uint64)
-    digest = mix(mix(anchor, np.add.reduceat(mix(w, inside), first)), lens.astype(np.uint64))
-    _, lead, inverse, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-    sent = np.zeros(len(row), bool)
-    sent[lead] = True
-    known = times[inverse] > 1
-    offsets = np.concatenate([[0], np.cumsum(lens * 6 * sent)])
-    key = np.where(sent, anchor, mix(anchor, row.view(np.uint64) + start.astype(np.uint64)))
-    yield _row_batches(key, row, start, lens, known, _low48(w[np.repeat(sent, lens)]).tobytes(), offsets)
-
-
-def _look_up(t: pa.Table) -> pa.RecordBatch:
-    """(row, start, mask) of the blocks of whole buckets: bit i is set if window start + i occurs elsewhere."""
+    return own[first], start[first], np.diff(first, append=len(at)), anchors[first]
+
+
+def _split(texts: list) -> list[list[bytes]]:
+    return [bytes(t or b"").split() for t in texts]
+
+
+#: A block of n windows with its words, or, without words, a factor: n windows that stand at ref_start of ref_row, too.
+_SENT = {"key": pa.int64(), "row": pa.int64(), "start": pa.int32(), "n": pa.int32(), "ref_row": pa.int64(), "ref_start": pa.int32(), "body": pa.binary()}
+_FACTOR = ("row", "start", "n", "ref_row", "ref_start")
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+
+
+def _batch(rows: list[tuple], names) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, _SENT[n]) for x, n in zip(columns, names)], list(names))
+
+
+def _send(batches: Iterator[pa.RecordBatch], answers: Answers, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
+    """Blocks whose anchors the corpus has more than once, each distinct one once, and factors for those that are equal to one sent."""
+    seen: dict[bytes, list] = {}
+    held = 0
+    for b in batches:
+        rows, words = b.column(0).to_numpy(), _split(b.column(1).to_pylist())
+        own, start, lens, anchor = blocks(words, window, phrase)
+        row = rows[own]
+        file, short = row >> PLACE_BITS, anchor >> np.uint64(16)
+        shared, often = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        for f in np.unique(file).tolist():
+            here = file == f
+            shared[here], often[here] = (among(short[here], t) for t in answers.of(f))
+        out = []
+        for i in np.flatnonzero(shared).tolist():
+            w, r, s, n = words[own[i]], int(row[i]), int(start[i]), int(lens[i])
+            hot = bool(often[i])
+            for at in range(s, s + n) if hot else (s,):
+                size = 1 if hot else n
+                body = b" ".join(w[at : at + size + window - 1])
+                first = seen.get(body)
+                if first is None:
+                    key = xxhash.xxh64_intdigest(body) if hot else int(anchor[i])
+                    out.append((key - (1 << 64) if key >> 63 else key, r, at, size, None, None, body))
+                    seen[body] = [r, at, False]
+                    held += len(body)
+                    continue
+                # the words are equal; a factor travels by no anchor
+                out.append((hash((r, at)), r, at, size, first[0], first[1], None))
+                if not first[2]:
+                    first[2] = True
+                    out.append((hash((r, at, 1)), first[0], first[1], size, r, at, None))
+        if held > SEEN_BYTES:
+            seen.clear()
+            held = 0
+        yield _batch(out, list(_SENT))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks, in order; equal only where both are."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+
+
+def _window_ids(words: np.ndarray, window: int) -> np.ndarray:
+    """A number for the ``window`` words from each place on, equal only where all words are."""
+    size, rank = 1, words
+    while size * 2 <= window:
+        rank = _pairs(rank[: len(rank) - size], rank[size:])
+        size *= 2
+    return _pairs(rank[: len(rank) - (window - size)], rank[window - size :]) if window > size else rank
+
+
+def _parse(rows: np.ndarray, starts: np.ndarray, lens: np.ndarray, bodies: list[bytes], window: int) -> list[tuple]:
+    """The factors of blocks, each against all the others and itself: (row, start, n, ref_row, ref_start).
+
+    Windows are numbered by their words. The windows from each place on, up to the first that occurs nowhere else, are
+    sorted as sequences; the longest match of a place is that of one of its neighbours.
+    """
+    words = pa.array(b" ".join(bodies).split(b" "), pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+    offsets = np.cumsum(lens + window - 1) - (lens + window - 1)
+    block = np.repeat(np.arange(len(lens)), lens)
+    first = np.cumsum(lens) - lens
+    inside = np.arange(len(block)) - first[block]
+    ids = _window_ids(words, window)[offsets[block] + inside]
+    again = np.bincount(ids)[ids] > 1
+    at = np.flatnonzero(again)
+    if not len(at):
+        return []
+    # places that go on: the next window is of the same block and occurs elsewhere, too
+    block, inside, ids = block[at], inside[at], ids[at]
+    count = len(at)
+    last = np.ones(count, bool)
+    last[:-1] = (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])
+    run = np.arange(count)
+    ends = np.flatnonzero(last)
+    avail = ends[np.searchsorted(ends, run)] - run + 1
+    ranks = [_pairs(ids, np.zeros(count, np.int64)) + 1]
+    size = 1
+    while size < int(avail.max()):
+        rank = ranks[-1]
+        follow = np.zeros(count, np.int64)
+        go = run[avail > size]
+        follow[go] = rank[go + size]
+        ranks.append(_pairs(rank, follow) + 1)
+        size *= 2
+    order = np.lexsort((starts[block] + inside, rows[block], ranks[-1]))
+    x, y = order[:-1], order[1:]
+    common = np.zeros(count - 1, np.int64)
+    limit = np.minimum(avail[x], avail[y])
+    for k in range(len(ranks) - 1, -1, -1):
+        ok = common + (1 << k) <= limit
+        ok[ok] = ranks[k][(x + common)[ok]] == ranks[k][(y + common)[ok]]
+        common[ok] += 1 << k
+    before, after = np.concatenate([[0], common]), np.concatenate([common, [0]])
+    length, ref = np.empty(count, np.int64), np.empty(count, np.int64)
+    length[order] = np.maximum(before, after)
+    ref[order] = np.where(before >= after, np.concatenate([[0], x]), np.concatenate([y, [0]]))
+    out, goal = [], -1
+    row, place = rows[block].tolist(), (starts[block] + inside).tolist()
+    lengths, refs, begins = length.tolist(), ref.tolist(), np.concatenate([[True], last[:-1]]).tolist()
+    for i in range(count):
+        if begins[i] or i >= goal:
+            out.append((row[i], place[i], lengths[i], row[refs[i]], place[refs[i]]))
+            goal = i + lengths[i]
+    return out
+
+
+def _look_up(t: pa.Table, window: int) -> pa.RecordBatch:
+    """The factors that came and those of the blocks of whole buckets."""
     t = t.combine_chunks()
-    key, row, start, n, known = (t[c].to_numpy(zero_copy_only=False) for c in ("key", "row", "start", "n", "known"))
-    sizes = np.array([len(x) // 6 for x in t["hashes"].to_pylist()], np.int64)
-    raw = np.frombuffer(b"".join(t["hashes"].to_pylist()), np.uint8).reshape(-1, 6)
-    w = np.zeros((len(raw), 8), np.uint8)
-    w[:, :6] = raw
-    both = mix(np.repeat(key.view(np.uint64), sizes), w.reshape(-1).view("<u8"))
-    order = np.argsort(both, kind="stable")
-    ranked = both[order]
-    same = np.zeros(len(ranked) + 1, bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    found = np.zeros(len(ranked), np.int64)
-    found[order] = same[1:] | same[:-1]
-    mask = np.zeros(len(row), np.int64)
-    has = np.flatnonzero(sizes > 0)
-    if len(has):
-        first = (np.cumsum(sizes) - sizes)[has]
-        inside = np.arange(len(found)) - np.repeat(first, sizes[has])
-        mask[has] = np.add.reduceat(found << inside, first)
-    mask[known] = (np.int64(1) << n[known].astype(np.int64)) - 1
-    keep = mask != 0
-    return pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(start[keep]), pa.array(mask[keep])], ["row", "start", "mask"])
-
-
-def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = t.filter(pa.compute.is_null(t["body"]))
+    sent = t.filter(pa.compute.is_valid(t["body"]))
+    found = list(zip(*(known[n].to_pylist() for n in _FACTOR)))
+    if sent.num_rows:
+        found += _parse(*(sent[n].to_numpy().astype(np.int64) for n in ("row", "start", "n")), sent["body"].to_pylist(), window)
+    return _batch(found, _FACTOR)
+
+
+def _buckets(parts: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Looks up whole buckets of a partition sorted by key, about CHUNK windows at a time."""
     held: list[pa.RecordBatch] = []
     windows = 0
@@ -179,37 +239,62 @@ def _buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         held.append(b)
-        windows += sum(b.column(3).to_numpy())
+        windows += int(b.column(3).to_numpy().sum())
         if windows >= CHUNK:
             t = pa.Table.from_batches(held)
             keys = t["key"].to_numpy()
             end = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
             if end:
-                yield _look_up(t.slice(0, end))
+                yield _look_up(t.slice(0, end), window)
                 held = t.slice(end).to_batches()
-                windows = sum(t["n"].to_numpy()[end:])
+                windows = int(t["n"].to_numpy()[end:].sum())
     if held:
-        yield _look_up(pa.Table.from_batches(held))
+        yield _look_up(pa.Table.from_batches(held), window)
+
 
+def factors(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """The parse of a document from (start, n, ref_row, ref_start) of its blocks: (first word, words, ref_row, ref_start) by start.
 
-def factors(starts: list[int], masks: list[int], n_words: int, window: int) -> list[tuple[int, int]]:
-    """The parse: (first word, length) of each longest chain of windows that occur elsewhere."""
-    flags = np.zeros(n_words + 1, bool)
-    for s, m in zip(starts, masks):
-        for i in range(_RUN):
-            if m >> i & 1:
-                flags[s + i] = True
-    edges = np.flatnonzero(np.diff(flags, prepend=False))
-    return [(int(a), int(b - a) + window - 1) for a, b in zip(edges[::2], edges[1::2])]
+    What an earlier factor has is not taken again, and factors that go on in the same reference are one.
+    """
+    out: list[list[int]] = []
+    for start, n, row, at in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
+        if out:
+            done = out[-1][0] + out[-1][1]
+            if start < done:
+                start, n, at = done, n - (done - start), at + done - start
+            if n <= 0:
+                continue
+            if start == done and row == out[-1][2] and at == out[-1][3] + out[-1][1]:
+                out[-1][1] += n
+                continue
+        out.append([start, n, row, at])
+    return [(s, n + window - 1, r, a) for s, n, r, a in out]
+
+
+class Spans(ByFile):
+    """The factors by document of the files that a task reads."""
+
+    file: int | None = None
+
+    def of(self, key: int) -> list[tuple[int, int, int, int]]:
+        if key >> PLACE_BITS != self.file:
+            self.file, t = key >> PLACE_BITS, self.table(key >> PLACE_BITS)
+            columns = [t[n].to_numpy() if t is not None else np.zeros(0, np.int64) for n in _FACTOR]
+            order = np.argsort(columns[0], kind="stable")
+            self.rows, *self.rest = (c[order] for c in columns)
+        a, z = np.searchsorted(self.rows, [key, key + 1])
+        return list(zip(*(c[a:z].tolist() for c in self.rest))) if a < z else []
 
 
 def substring_dedup(docs: DataFrame, carry: tuple = ("doc_id",), text: str = "text", window: int = WINDOW, phrase: int = PHRASE, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
-    """One row per row of ``docs``: the carried columns, n_words, n_removed, factors (first word, length), kept (text).
+    """One row per row of ``docs``: the carried columns, __row, n_words, n_removed, factors, kept (text).
 
     A word is removed if a window of ``window`` words that covers it has the same words as a window that starts
-    anywhere else, in the same or another document; both are removed. Null and empty texts and texts shorter than
-    a window lose nothing; repeated rows remove each other's windows; an empty table gives no rows; other columns
-    are not read.
+    anywhere else, in the same or another document; both are removed. ``factors`` are (start, length, ref_row, ref_start)
+    in words: the same words stand at ref_start of the document whose __row is ref_row. Null and empty texts and texts
+    shorter than a window lose nothing; very long texts are many blocks; repeated rows remove each other's windows; an
+    empty table gives no rows; other columns, whatever their names, are not read.
     """
     if not 1 <= phrase < window:
         raise ValueError("phrase must be shorter than window")
@@ -218,44 +303,38 @@ def substring_dedup(docs: DataFrame, carry: tuple = ("doc_id",), text: str = "te
     rows = keyed(docs, *[f"`{c}`" for c in carry], F.col(text).cast("binary").alias("__text"))
     texts = rows.select("__row", "__text")
 
-    def anchors(parts):
-        for b in parts:
-            found, times = np.unique(blocks(b.column(1).to_pylist(), window, phrase, hashes=False)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["anchor", "n"])
-
-    counts = texts.mapInArrow(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    hot = [r["anchor"] for r in counts.filter(F.col("n") > hot_blocks).orderBy(F.desc("n")).limit(MOST_HOT).collect()]
-    hot = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
-
-    def send(parts):
-        for b in parts:
-            yield from _send(b.column(0).to_numpy(), b.column(1).to_pylist(), window, phrase, hot.value)
-
-    index = texts.mapInArrow(send, _BLOCK).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = index.mapInArrow(_buckets, "row long, start int, mask long")
-    spans = found.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
-    joined = rows.join(spans, rows["__row"] == spans["row"], "left").select(*[f"`{c}`" for c in carry], "__text", "starts", "masks")
+    def anchors(b):
+        own, _, _, anchor = blocks(_split(b.column(1).to_pylist()), window, phrase)
+        return b.column(0).to_numpy()[own], anchor >> np.uint64(16)
+
+    spool, answers = exchange(texts, anchors, texts.count() * _PER_DOCUMENT, hot_blocks)
+    sent = texts.mapInArrow(lambda parts: _send(parts, answers, window, phrase), ", ".join(f"{n} {_SQL[t]}" for n, t in _SENT.items()))
+    index = sent.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    found = index.mapInArrow(lambda parts: _buckets(parts, window), ", ".join(f"{n} {_SQL[_SENT[n]]}" for n in _FACTOR))
+    found = found.withColumn("file", F.shiftright("row", PLACE_BITS)).repartition(partitions(spark), "file")
+    # read with the result, so it stays until the session ends
+    spans = Spans(Spool(found, "factors", by="file").drop_at_exit().path)
+    spool.drop()
+    piece = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_row", pa.int64()), ("ref_start", pa.int32())])
+    names = [f.name for f in piece]
+    n = len(carry)
 
     def parse(parts):
         for b in parts:
             out = []
-            for t, starts, masks in zip(*(b.column(i).to_pylist() for i in range(len(carry), len(carry) + 3))):
-                words = bytes(t or b"").split()
-                parsed = factors(starts, masks, len(words), window) if starts else []
-                gone = np.zeros(len(words) + 1, np.int32)
-                for s, n in parsed:
-                    gone[s] += 1
-                    gone[s + n] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = [x for x, g in zip(words, gone.tolist()) if not g] if parsed else words
-                out.append((len(words), int(gone.sum()), [{"start": s, "length": n} for s, n in parsed], b" ".join(kept)))
-            n_words, n_removed, parsed, kept = zip(*out) if out else ((), (), (), ())
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(carry)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(parsed, kind), pa.array(kept, pa.binary())],
-                [*carry, "n_words", "n_removed", "factors", "kept"],
-            )
-
-    piece = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("factors", piece), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(parse, schema).withColumn("kept", F.col("kept").cast("string"))
+            for key, words in zip(b.column(n).to_pylist(), _split(b.column(n + 1).to_pylist())):
+                parsed = factors(spans.of(key), window)
+                kept, at, removed = [], 0, 0
+                for s, size, *_ in parsed:
+                    kept += words[at:s]
+                    removed += max(0, s + size - max(at, s))
+                    at = max(at, s + size)
+                kept += words[at:]
+                out.append((len(words), removed, [dict(zip(names, x)) for x in parsed], b" ".join(kept)))
+            columns = zip(*out) if out else [[]] * 4
+            arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(piece), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], *arrays], [*carry, "__row", "n_words", "n_removed", "factors", "kept"])
+
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(*x) for x in (("__row", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("factors", T.ArrayType(T.StructType([
+        T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("ref_row", T.LongType()), T.StructField("ref_start", T.IntegerType())]))), ("kept", T.BinaryType())))])
+    return rows.select(*[f"`{c}`" for c in carry], "__row", "__text").mapInArrow(parse, schema).withColumn("kept", F.col("kept").cast("string"))

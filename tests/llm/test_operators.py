@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from colonnade.llm import common, decontaminate, exact_dedup, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
+from colonnade.llm import common, decontaminate, exact_dedup, exchange, kneser_ney, mixing, pii, quality, secrets, sharding, simhash, substring
 
 
 def sha(text: str) -> str:
@@ -29,7 +29,7 @@ def test_golomb_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 1000):
         x = np.unique(rng.integers(500, 1 << 40, n).astype(np.uint64))
-        assert (exact_dedup.golomb_decode(*exact_dedup.golomb_encode(x, 500, 1 << 40), 500) == x).all()
+        assert (exchange.golomb_decode(*exchange.golomb_encode(x, 500, 1 << 40), 500) == x).all()
 
 
 def test_exact_dedup(docs, prose):
@@ -371,15 +371,59 @@ def test_substring(docs, prose, window, phrase, hot):
     assert got == want and sum(x[2] for x in got) > 500
 
 
-def test_substring_in_chunks(docs, prose, monkeypatch):
+def test_factors_stand_at_their_references(docs, prose):
+    """Each factor's words, at its reference in another document or elsewhere in the same one."""
+    out = substring.substring_dedup(docs, carry=("doc_id", "text"), window=10, phrase=4).collect()
+    words = {r["__row"]: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in out}
+    n = 0
+    for r in out:
+        end = 0
+        for f in r.factors:
+            own, other = words[r["__row"]], words[f.ref_row]
+            assert own[f.start : f.start + f.length] == other[f.ref_start : f.ref_start + f.length] and f.length >= 10
+            assert (r["__row"], f.start) != (f.ref_row, f.ref_start) and f.start + f.length > end
+            end = f.start + f.length
+            n += 1
+    assert n > 20 and any(len(w) == r.n_removed and len(r.factors) == 1 for r in out if (w := words[r["__row"]]))
+
+
+def test_parse_is_greedy():
+    """At each place the longest match that any block has, here against all pairs of places."""
+    rng = np.random.default_rng(3)
+    for window in (1, 2, 3, 5):
+        texts = [[b"%d" % x for x in rng.integers(0, 3, rng.integers(window, 40))] for _ in range(25)]
+        rows, starts = np.arange(25), np.zeros(25, np.int64)
+        lens = np.array([len(t) - window + 1 for t in texts])
+        got = defaultdict(list)
+        for r, s, n, rr, rs in substring._parse(rows, starts, lens, [b" ".join(t) for t in texts], window):
+            assert texts[r][s : s + n + window - 1] == texts[rr][rs : rs + n + window - 1] and (r, s) != (rr, rs)
+            got[r].append((s, n))
+
+        def longest(r, s):
+            best = 0
+            for rr, other in enumerate(texts):
+                for rs in range(len(other) - window + 1):
+                    n = 0
+                    while (rr, rs) != (r, s) and s + n < len(texts[r]) and rs + n < len(other) and texts[r][s + n] == other[rs + n]:
+                        n += 1
+                    best = max(best, n - window + 1)
+            return best
+
+        for r, t in enumerate(texts):
+            s, want = 0, []
+            while s <= len(t) - window:
+                n = longest(r, s)
+                if n > 0:
+                    want.append((s, n))
+                s += max(1, n)
+            assert got[r] == want
+
+
+def test_substring_in_chunks(docs, monkeypatch):
+    want = rows_of(substring.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept")
     monkeypatch.setattr(substring, "CHUNK", 50)
-    t = [b"" if x is None else x.encode() for _, x, *_ in prose]
-    import pyarrow as pa
-
-    sent = pa.Table.from_batches([b for at in range(0, len(t), 7) for b in substring._send(np.arange(at, min(at + 7, len(t))), t[at : at + 7], 35, 8, np.zeros(0, np.uint64))]).sort_by("key")
-    one = pa.Table.from_batches([substring._look_up(sent)])
-    some = pa.Table.from_batches(list(substring._buckets(iter(sent.to_batches(max_chunksize=3)))))
-    assert one.sort_by([("row", "ascending"), ("start", "ascending")]).equals(some.sort_by([("row", "ascending"), ("start", "ascending")]))
+    monkeypatch.setattr(substring, "SEEN_BYTES", 2000)
+    assert rows_of(substring.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept") == want
 
 
 # 10 --------------------------------------------------------------------------------------------------------------
