@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, tune
+from .common import cut, keyed, tune
 
 #: Record bytes that one bucket holds on average; what one task of pass 2 keeps in memory.
 BUCKET_BYTES = 24 << 20
 ROW_BYTES = 16
+#: Buckets whose sizes one task sums.
+GROUP = 1024
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -36,22 +38,24 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 40, seed: int = 20, buc
 
     Law ``rows``: row counts of shards differ by one at most. Null and empty texts are records like any other;
     repeated rows stay apart; an empty table gives no rows; a ``shard`` or ``slot`` column of the input is
-    replaced. Runs over the same files with the same settings give the same shards.
+    replaced; a record that is larger than a bucket is in one of its own size. Runs over the same files give the same
+    shards, whatever the number of cores.
     """
     spark = docs.sparkSession
     tune(spark)
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    docs = free(docs, "shard", "slot", "__row", "__bucket", "__start")
+    docs = free(docs, "shard", "slot", "__row", "__bucket", "__start", "__group")
     names = docs.columns
     rows = keyed(docs, *[f"`{c}`" for c in names])
     total, size = rows.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + ROW_BYTES)).first()
     n_buckets = max(1, -(-int(size or 0) // bucket_bytes))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("__row")), F.lit(n_buckets)).cast("int"))
 
-    counts = rows.groupBy("__bucket").count()
-    # one row per bucket, so this window's single task holds total bytes / bucket_bytes rows
-    starts = counts.selectExpr("__bucket", "sum(count) over (order by __bucket) - count as __start")
+    counts = cut(rows.groupBy("__bucket").count().withColumn("__group", F.expr(f"__bucket div {GROUP}")))
+    # running sums in two levels: the one window over all has a row for each GROUP buckets, some 4,000 at 100 TB
+    groups = counts.groupBy("__group").agg(F.sum("count").alias("n")).selectExpr("__group", "sum(n) over (order by __group) - n as before")
+    starts = counts.join(groups, "__group").selectExpr("__bucket", "before + sum(count) over (partition by __group order by __bucket) - count as __start")
 
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 

@@ -26,6 +26,8 @@ _PLACE = (np.arange(8) * 256).astype(np.int64)
 
 #: Shingles that are counted at once when common ones are sought, and how many common ones are kept; both change costs only, no result.
 CHUNK = 1 << 22
+#: Fingerprints with one segment that are compared with each other; more are told apart by their other bits first.
+DENSE = 200
 COMMON = 20_000
 
 
@@ -72,11 +74,12 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def hamming_links(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
+def hamming_links(nodes: DataFrame, radius: int = 2, segments: int = 2, dense: int = DENSE) -> DataFrame:
     """(a, b) of all pairs of distinct values in column ``fp`` that differ in 1 to ``radius`` bits; a pair may come twice.
 
     Of the two ends of a link, the one with 0 at the lowest bit in which the segments differ enumerates it, so
-    half of a ball is looked up.
+    half of a ball is looked up. Where more than ``dense`` values have the same segment, the bits outside of it are cut
+    into radius + 4 parts, of which two ends of a link have some four in common: values there meet only in such fours.
     """
     if segments < 2:
         raise ValueError("a fingerprint has two segments at least")
@@ -86,11 +89,31 @@ def hamming_links(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataF
     def segment(i: int) -> Column:
         return F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
+    def fours(i: int, fp: str) -> Column:
+        """(number, bits) of each four of the parts outside of segment i."""
+        outside = [x for x in range(64) if not i * width <= x < (i + 1) * width]
+        parts = np.array_split(np.array(outside), radius + 4)
+        found = [sum(1 << int(x) for p in c for x in p) for c in combinations(parts, 4)]
+        return F.array(*[F.struct(F.lit(n).alias("four"), F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits")) for n, m in enumerate(found)])
+
+    def in_fours(rows: DataFrame, fp: str) -> DataFrame:
+        chosen = F.coalesce(*[F.when(F.col("seg") == i, fours(i, fp)) for i in range(segments)])
+        return rows.withColumn("__f", F.explode(chosen)).select("*", "__f.four", "__f.bits").drop("__f")
+
     table = nodes.select("fp", F.posexplode(F.array(*[segment(i) for i in range(segments)])).alias("seg", "value"))
+    crowded = cut(table.groupBy("seg", "value").count().filter(F.col("count") > dense).select("seg", "value"))
     probes = table.select(F.col("fp").alias("a"), "seg", F.col("value").alias("own"), F.explode(masks).alias("mask"))
     probes = probes.filter("(own & mask & -mask) = 0").selectExpr("a", "seg", "own ^ mask as value", "mask")
-    found = probes.join(table, ["seg", "value"])
-    return found.filter(f"a <> fp and (mask <> 0 or a < fp) and bit_count(a ^ fp) <= {radius}").select("a", F.col("fp").alias("b"))
+    near = f"a <> fp and (mask <> 0 or a < fp) and bit_count(a ^ fp) <= {radius}"
+    if crowded.isEmpty():
+        found = probes.join(table, ["seg", "value"])
+    else:
+        there = small(crowded)
+        found = probes.join(table.join(there, ["seg", "value"], "left_anti"), ["seg", "value"])
+        some, rest = (in_fours(x.join(there, ["seg", "value"], "left_semi"), fp) for x, fp in ((probes, "a"), (table, "fp")))
+        packed = some.join(rest, ["seg", "value", "four", "bits"]).filter(near)
+        found = found.select("a", "fp", "mask").unionByName(packed.select("a", "fp", "mask"))
+    return found.filter(near).select("a", F.col("fp").alias("b"))
 
 
 def _differ(similarity: float) -> float:
@@ -250,8 +273,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Documents are linked when their fingerprints differ in at most ``radius`` bits; component_id is the smallest
     id reachable (null only where no id of the component is known). Null and empty texts have fingerprint zero,
-    linked like any other. Equal fingerprints are one node, so groups of copies never expand into pairs. An
-    empty table gives no rows; other columns are not read.
+    linked like any other. Equal fingerprints are one node, so groups of copies never expand into pairs; very long
+    texts are one fingerprint like others, of repeated rows each has its own row. An empty table gives no rows; other
+    columns, whatever their names, are not read.
     """
     prints = cut(fingerprints(docs, doc_id, text, size))
     nodes = cut(prints.groupBy("fp").agg(F.min("key").alias("least")))

@@ -141,9 +141,24 @@ def test_hamming_links(spark, radius, segments):
                 x ^= 1 << bit
             values.add(x)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, segments).collect()}
     mask = (1 << 64) - 1
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= radius}
+    for dense in (200, 3):
+        got = {tuple(sorted((r.a, r.b))) for r in simhash.hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, segments, dense).collect()}
+        assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= radius}
+
+
+def test_a_crowded_segment_stays_linear(spark):
+    """Many distinct fingerprints with one half in common: few comparisons, all links."""
+    rng = np.random.default_rng(4)
+    low = np.unique(rng.integers(0, 1 << 32, 20_000))
+    low = np.unique(np.concatenate([low, low[:50] ^ 5]))
+    df = spark.createDataFrame([(int(x) + (7 << 32),) for x in low], "fp long")
+    links = simhash.hamming_links(df)
+    got = {tuple(sorted((r.a & 0xFFFFFFFF, r.b & 0xFFFFFFFF))) for r in links.collect()}
+    known, want = set(low.tolist()), set()
+    for m in simhash.ball(32, 2)[1:]:
+        want |= {(x, x ^ m) for x in known if x < x ^ m and x ^ m in known}
+    assert got == want and len(got) >= 50
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
