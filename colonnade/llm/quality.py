@@ -66,8 +66,8 @@ def features(text: bytes | None) -> np.ndarray:
 class Scorer:
     """w.x of texts, one pass over the distinct words of each; remembers which features of a word have a weight."""
 
-    #: Words that are remembered at once.
-    WORDS = 500_000
+    #: Words that are remembered at once, some 10 MB.
+    WORDS = 50_000
 
     def __init__(self, weights: np.ndarray):
         self.weights = dict(zip(np.flatnonzero(weights).tolist(), weights[weights != 0].tolist()))

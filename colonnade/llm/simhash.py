@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, keyed, small, tune
+from .common import Spool, components, cut, keyed, small, tune
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -28,7 +28,9 @@ _PLACE = (np.arange(8) * 256).astype(np.int64)
 CHUNK = 1 << 22
 #: Fingerprints with one segment that are compared with each other; more are told apart by their other bits first.
 DENSE = 200
-COMMON = 20_000
+COMMON = 200_000
+#: Rounds in which documents are compared with the best linked one of a shingle before all that is left is compared.
+HUBS = 1
 
 
 def shingles(text: bytes | None, size: int) -> list[bytes]:
@@ -167,10 +169,10 @@ def common_shingles(rows: DataFrame, text: str, size: int) -> tuple[np.ndarray,
         yield chunk()
 
     counted = rows.select(text).mapInArrow(batches, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "value").limit(COMMON).collect()
-    value = np.array([r["value"] for r in found], np.int64).view(np.uint64)
+    found = counted.orderBy(F.desc("n"), "value").limit(COMMON).toArrow()
+    value = found["value"].to_numpy().view(np.uint64)
     order = np.argsort(value)
-    return value[order], np.array([r["n"] for r in found], np.int64)[order]
+    return value[order], found["n"].to_numpy()[order]
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
@@ -184,26 +186,45 @@ def prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, similarity
 
 
 def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' distinct shingles have that Jaccard similarity."""
-
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            found = [shingle_hashes(t, size).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "s"])
+    """The pairs (a, b) of keys whose texts' distinct shingles have that Jaccard similarity. Texts move, which compress well, and shingles are compared as such."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        known: dict[int, set[bytes]] = {}
+
+        def shingled(i: int, t: bytes) -> set[bytes]:
+            if i not in known:
+                if len(known) > 16:
+                    known.clear()
+                known[i] = set(shingles(t, size))
+            return known[i]
+
+        for batch in parts:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = shingled(a, x), shingled(b, y)
+                both = len(x & y)
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    asked = Spool(pairs.distinct(), "pairs")
+    pairs = asked.read()
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
-    found = cut(rows.join(small(ids), key).select(key, text).mapInArrow(sets, "id long, s binary"))
-    x, y = found.selectExpr("id as a", "s as x"), found.selectExpr("id as b", "s as y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    held = Spool(rows.join(small(ids, 8), key, "left_semi").select(F.col(key).alias("id"), F.col(text).alias("t")), "texts")
+    x, y = held.read().selectExpr("id as a", "t as x"), held.read().selectExpr("id as b", "t as y")
+    found = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    held.drop()
+    asked.drop()
+    return found
+
+
+def _parted(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, Spool]:
+    """The entries (value, id, n, pos) with the component and the number of links of each id; drop the spool when they have been read."""
+    part = components(links).selectExpr("node", "component")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    known = cut(part.join(degree, "node"))
+    out = entries.join(small(known, 32), F.col("id") == F.col("node"), "left")
+    spool = Spool(out.select("value", "id", "n", "pos", F.coalesce("component", "id").alias("part"), F.coalesce(known["links"], F.lit(0)).alias("links")), "parts")
+    return spool.read(), spool
 
 
 def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -212,47 +233,57 @@ def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "tex
     Links are exactly the pairs whose distinct shingles have that Jaccard similarity. Of each set only a prefix in one
     order of all shingles is looked up: similar sets share a shingle of their prefixes, and the first that they share
     leaves room for the overlap that they need. Every pair found so is compared by its shingles. Equal sets are one
-    node. Nodes are first linked to the least of those with a shingle of the prefix; look-ups then pass over what is in
-    one component already, so a large group of near copies is never expanded into pairs, and no link between
-    components is lost.
+    node. Nodes are first linked to the least of those with a shingle of the prefix, then to the one of those that has
+    most links; look-ups then pass over what is in one component already, so a large group of near copies isn't expanded
+    into pairs, and no link between components is lost.
     """
     tune(rows.sparkSession)
     rows = rows.select(key, F.col(text).cast("binary").alias(text))
-    common, times = common_shingles(rows, text, size)
+    listed = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, text, size))  # 16 bytes for each of COMMON
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             found = [shingle_hashes(x, size) for x in b.column(1).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
             n = pa.array([len(x) for x in found], pa.int32())
-            first = pa.array([prefix(x, common, times, similarity).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
+            first = pa.array([prefix(x, *listed.value, similarity).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), digests, n, first], ["key", "s", "n", "first"])
 
-    prints = cut(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>"))
+    kept = Spool(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>"), "prefixes")
+    prints = kept.read()
     nodes = cut(prints.groupBy("s").agg(F.min("key").alias("id")))
-    entries = prints.join(small(nodes.select(F.col("id").alias("key"))), "key", "left_semi").select(F.col("key").alias("id"), "n", F.posexplode("first").alias("pos", "value"))
+    entries = prints.join(small(nodes.select(F.col("id").alias("key")), 8), "key", "left_semi").select(F.col("key").alias("id"), "n", F.posexplode("first").alias("pos", "value"))
     # entries move once; most shingles stand in one set only
     bucket = Window.partitionBy("value")
     entries = entries.withColumn("c", F.min(F.struct("id", "n", "pos")).over(bucket)).withColumn("count", F.count("*").over(bucket))
-    entries = cut(entries.filter("count > 1").selectExpr("value", "id", "n", "pos", "c.id as b", "c.n as m", "c.pos as place"))
+    met = Spool(entries.filter("count > 1").selectExpr("value", "id", "n", "pos", "c.id as b", "c.n as m", "c.pos as place"), "shared")
+    entries = met.read()
     # what may follow the first common shingle suffices for the overlap of similar sets
     fits = f"least(n - pos, m - place) + 1e-9 >= {similarity / (1 + similarity)!r}D * (n + m)"
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _similar(rows, key, text, cut(pairs.distinct()), size, similarity)
-
-    first = cut(verified(entries.filter(f"id <> b and {fits}").selectExpr("id as a", "b")))
-    part = components(first)
-    entries = cut(entries.join(part, F.col("id") == F.col("node"), "left").select("value", "id", "n", "pos", F.coalesce("component", "id").alias("part")))
+    links = _similar(rows, key, text, entries.filter(f"id <> b and {fits}").selectExpr("id as a", "b"), size, similarity)
+    # copies of one text may each be too far from the least of them, but near the text itself: the one with most links
+    for _ in range(HUBS):
+        parted, drop = _parted(entries, links)
+        met.drop()
+        hubs = parted.withColumn("c", F.max(F.struct("links", F.expr("-id as less"), "id", "n", "pos", "part")).over(bucket))
+        hubs = hubs.selectExpr("id as a", "c.id as b", "n", "pos", "part", "c.n as m", "c.pos as place", "c.part as other")
+        links = cut(links.unionByName(_similar(rows, key, text, hubs.filter(f"part <> other and {fits}").selectExpr("least(a, b) as a", "greatest(a, b) as b"), size, similarity)))
+        entries, met = parted, drop
+    entries, parts = _parted(entries, links)
+    met.drop()
 
     # of a bucket each look-up meets components first, then the members of those that aren't its own
     probes = entries.selectExpr("value", "id as a", "n as m", "pos as place", "part as part_a")
-    met = probes.join(entries.select("value", "part").distinct(), "value").filter("part < part_a").drop("part_a")
-    pairs = met.join(entries, ["value", "part"]).filter(fits).selectExpr("least(a, id) as a", "greatest(a, id) as b")
-    found = components(first.unionByName(verified(pairs)))
+    others = probes.join(entries.select("value", "part").distinct(), "value").filter("part < part_a").drop("part_a")
+    pairs = others.join(entries, ["value", "part"]).filter(fits).selectExpr("least(a, id) as a", "greatest(a, id) as b")
+    found = components(links.unionByName(_similar(rows, key, text, pairs, size, similarity)))
+    parts.drop()
     # all rows of a node are copies of its least row
     out = prints.select("key", "s").join(nodes.select("s", "id"), "s").join(found, F.col("id") == F.col("node"), "left")
-    return out.select(F.col("key").alias(key), F.coalesce("component", "id").alias("keep"))
+    out = cut(out.select(F.col("key").alias(key), F.coalesce("component", "id").alias("keep")))
+    kept.drop()
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -265,7 +296,7 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float =
     rows = keyed(docs, *[f"`{c}`" for c in names])
     classes = near_duplicate_classes(rows, size=size, similarity=similarity)
     gone = cut(classes.filter("__row <> keep").select("__row"))
-    return rows.join(small(gone), "__row", "left_anti").select([f"`{c}`" for c in names])
+    return rows.join(small(gone, 8), "__row", "left_anti").select([f"`{c}`" for c in names])
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
