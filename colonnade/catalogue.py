@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import native_catalogue
 from .functions.aggregates import avg, global_aggregate, group_by_multi_key, sum_
 from .functions.types import I32, U32, UTF8, ColumnSchema, TableSchema
 from .plans.expr import col
@@ -123,10 +124,6 @@ def _text_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: open_session(spark, sf_dir).query(text)
 
 
-def _first_group(session: Session):
-    return session.catalog.resolve("tpch.part")
-
-
 def builder_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = aql().from_("tpch.part").filter(col("p_size").gt(10)).group_by("p_brand").agg(sum_("p_size")).group_filter(agg_ref("sum", "p_size").gt(500))
     return open_session(spark, sf_dir).query(query.select("p_brand", "sum_p_size").order_by(OrderBy(col("sum_p_size"), True), "p_brand").limit(7).offset(1))
@@ -236,7 +233,7 @@ _FUNCTIONS: dict[Callable[[SparkSession, str], DataFrame], str] = {
     plan_text: "select * from (values ('Scan(tpch.part)'), ('Scan(table=tpch.part)')) t(step)",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text_query(text) for name, (text, _) in TEXT.items()} | {f.__name__: f for f in _FUNCTIONS}
-ORACLE: dict[str, str] = {name: sql for name, (_, sql) in TEXT.items()} | {f.__name__: sql for f, sql in _FUNCTIONS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _text_query(text) for name, (text, _) in TEXT.items()} | {f.__name__: f for f in _FUNCTIONS} | native_catalogue.QUERIES
+ORACLE: dict[str, str] = {name: sql for name, (_, sql) in TEXT.items()} | {f.__name__: sql for f, sql in _FUNCTIONS.items()} | native_catalogue.ORACLE
 
 __all__ = ["ORACLE", "QUERIES", "avg", "open_session"]
