@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -82,3 +83,12 @@ class Files:
             if "AlreadyExists" in str(e):
                 return False
             raise
+
+    def age(self, path: str) -> float | None:
+        """Seconds since a file was written or touched; None if it isn't there."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000 if fs.exists(p) else None
+
+    def touch(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.setTimes(p, int(time.time() * 1000), -1)

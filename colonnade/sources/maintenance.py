@@ -89,11 +89,8 @@ def compact_segment(table: Table, segment: Segment) -> CompactionReport:
         staged = f"{table.path}/{STAGING}one"
         table.files.delete(staged)
         rows = table._write(df, staged)
-        backup = f"{table.path}/{BACKUP}one"
-        table.files.rename(segment.path, backup)
-        table.files.rename(staged, segment.path)
-        table.files.delete(backup)
-        table.refresh()
+        name = segment.path.rsplit("/", 1)[1]
+        table.swap([name], {name: staged})
         new = next(s for s in table.segments() if s.number == segment.number)
         return CompactionReport(1, 1, segment.row_groups, new.row_groups, rows, segment.size_bytes, new.size_bytes, False)
 

@@ -401,6 +401,60 @@ def test_printing():
     assert result_set(r, "csv") == "id,näme\n1,NULL\n2,日本\n(2 rows)" and result_set(r, "tsv").startswith("id\tnäme")
 
 
+def test_a_replacement_that_is_cut_off_loses_nothing(session, monkeypatch):
+    """Cut off at each of its steps, a delete leaves the rows from before it or those after it, for readers and for the next writer."""
+    from colonnade.sources.files import Files
+
+    real = {n: getattr(Files, n) for n in ("rename", "delete", "write")}
+    seen = set()
+    for step in range(12):
+        session.execute(f"CREATE DATABASE c{step}")
+        session.execute(f"CREATE TABLE c{step}.t (k I32)")
+        for part in ("(1), (2)", "(3), (4)", "(5)"):
+            session.execute(f"INSERT INTO c{step}.t ROWS {part}")
+        left = [step]
+
+        def cut(name):
+            def call(self, *args):
+                if left[0] == 0:
+                    raise KeyboardInterrupt
+                left[0] -= 1
+                return real[name](self, *args)
+
+            return call
+
+        for n in real:
+            monkeypatch.setattr(Files, n, cut(n))
+        try:
+            session.execute(f"DELETE FROM c{step}.t FILTER k > 3")
+        except KeyboardInterrupt:
+            pass
+        for n, f in real.items():
+            monkeypatch.setattr(Files, n, f)
+        t = session.catalog.resolve_native(f"c{step}.t")
+        t.files.delete(f"{t.path}/.compaction.lock")
+        found = tuple(sorted(r[0] for r in session.query(f"FROM c{step}.t").collect()))
+        assert found in ((1, 2, 3, 4, 5), (1, 2, 3))
+        session.execute(f"INSERT INTO c{step}.t ROWS (9)")
+        session.meta(f"vacuum c{step}.t")
+        assert tuple(sorted(r[0] for r in session.query(f"FROM c{step}.t").collect())) == (*found, 9)
+        seen.add(found)
+    assert len(seen) == 2 or (1, 2, 3, 4, 5) in seen
+
+
+def test_a_lock_that_is_left_behind_is_taken_over(session, monkeypatch):
+    from colonnade.sources import storage
+
+    table(session, "locked", "k I32", [[1], [2]])
+    t = session.catalog.resolve_native("t.locked")
+    t.files.create_new(f"{t.path}/.compaction.lock")
+    with fails(StorageError, "Compaction already in progress"), t.lock():
+        pass
+    monkeypatch.setattr(storage, "LEASE_SECONDS", 0)
+    session.execute("INSERT INTO t.locked ROWS (3)")
+    assert session.query("FROM t.locked").count() == 3 and not t.files.exists(f"{t.path}/.compaction.lock")
+
+
 # --- messages, server, shell
 
 
