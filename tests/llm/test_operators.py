@@ -476,3 +476,54 @@ def test_empty_tables(nothing, spark):
     assert sharding.shuffle_into_shards(nothing).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(nothing, quality.train(nothing, labels)).count() == 0
+
+
+def test_keys_do_not_depend_on_how_a_scan_is_cut(spark, docs, tmp_path):
+    """Other numbers of tasks, between runs and within one, change nothing."""
+    path = str(tmp_path / "documents.parquet")
+    docs.drop("__odd").repartition(6).write.option("parquet.block.size", 2000).parquet(path)
+    bench = docs.filter("doc_id < 5").selectExpr("doc_id as item_id", "text")
+    key, size = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes"
+
+    def run(first, then):
+        spark.conf.set(key, first)
+        spark.conf.set(size, 4000 * first)
+        df = spark.read.parquet(path)
+        found = [
+            exact_dedup.exact_dedup(df), mixing.mix(df).select("doc_id", "taken"), decontaminate.decontaminate(df, bench).select("doc_id", "n_hit", "items"), secrets.find_secrets(df),
+            substring.substring_dedup(df).drop("factors"), sharding.shuffle_into_shards(df, 5),
+        ]
+        spark.conf.set(key, then)
+        spark.conf.set(size, 4000 * then)
+        return [sorted(map(repr, x.collect())) for x in found]
+
+    try:
+        want = run(1, 1)
+        assert run(1, 16) == want and run(16, 1) == want
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(size)
+
+
+def test_cumulative_link_gradient():
+    """The fit against its own likelihood: with one feature and no decay, the weight and the thresholds are near those that a search finds."""
+    rng = np.random.default_rng(2)
+    x = rng.random(4000) < 0.5
+    truth = np.array([-0.7, 0.9])
+    tails = 1 / (1 + np.exp(truth[None, :] - 1.2 * x[:, None]))
+    grades = (rng.random(4000)[:, None] < tails).sum(axis=1)
+    model = quality.fit([np.array([7], np.int32) if v else np.zeros(0, np.int32) for v in x], grades, 3, epochs=60, decay=0.0)
+
+    def loss(w, t0, t1):
+        cdf = 1 / (1 + np.exp(-(np.array([t0, t1])[None, :] - w * x[:, None])))
+        cdf = np.hstack([np.zeros((len(x), 1)), cdf, np.ones((len(x), 1))])
+        at = np.arange(len(x))
+        return -np.log(cdf[at, grades + 1] - cdf[at, grades]).mean()
+
+    grid = [(w, a, b) for w in np.arange(0.8, 1.61, 0.1) for a in np.arange(-1.1, -0.29, 0.1) for b in np.arange(0.5, 1.31, 0.1)]
+    assert loss(model.weights[7], *model.thresholds) <= min(loss(*g) for g in grid) + 0.002
+    texts = [b"Some words, some MORE words\nand a line that is long enough to count as one: 12345", b"", b"words " * 500]
+    weights = rng.normal(size=quality.DIMENSIONS)
+    scorer = quality.Scorer(weights)
+    for _ in range(2):
+        assert [scorer(t) for t in texts] == pytest.approx([weights[quality.features(t)].sum() for t in texts])
