@@ -28,22 +28,24 @@ def compile_plan(bound: Bound) -> DataFrame:
     return _compile(bound, False)[0]
 
 
-def _compile(bound: Bound, ordered: bool) -> tuple[DataFrame, list[str]]:
+def _compile(bound: Bound, ordered: bool, enough: int | None = None) -> tuple[DataFrame, list[str]]:
     """The DataFrame, and hidden columns that give the rows' place in the tables if ``ordered`` asks for it.
 
+    ``enough``: so many first rows will do; a table then reads no more segments than have them.
+
     Only a LIMIT or OFFSET without ORDER BY asks: it takes the first rows in the order of the scan, or the first
     groups in the order of their keys.
     """
     node = bound.node
     if isinstance(node, L.Scan):
-        df = bound.table.scan(ordered)
+        df = bound.table.scan(ordered, enough)
         return df, [c for c in df.columns if c.startswith("__at_")] if ordered else []
     if isinstance(node, L.Join):
         return _join(bound, ordered)
     if isinstance(node, L.Limit):
         child = bound.children[0]
         sorted_below = isinstance(child.node, L.Sort)
-        df, hidden = _compile(child, not sorted_below)
+        df, hidden = _compile(child, not sorted_below, None if node.n is None else node.n + node.offset)
         if not sorted_below:
             if hidden:
                 df = R.sort(df, [(h, False) for h in hidden])
@@ -53,7 +55,7 @@ def _compile(bound: Bound, ordered: bool) -> tuple[DataFrame, list[str]]:
     if isinstance(node, L.Sort):
         return _sort(bound), []
     child = bound.children[0]
-    df, hidden = _compile(child, ordered)
+    df, hidden = _compile(child, ordered, enough if isinstance(node, L.Project) else None)
     if isinstance(node, (L.Filter, L.GroupFilter)):
         return R.filter_rows(df, predicate(node.predicate)), hidden
     if isinstance(node, L.Project):

@@ -455,6 +455,16 @@ def test_a_lock_that_is_left_behind_is_taken_over(session, monkeypatch):
     assert session.query("FROM t.locked").count() == 3 and not t.files.exists(f"{t.path}/.compaction.lock")
 
 
+def test_limit_reads_the_segments_that_it_needs(session):
+    table(session, "seg", "k I32", [[1], [2]])
+    for k in range(3, 9):
+        session.execute(f"INSERT INTO t.seg ROWS ({k})")
+    first = session.query("FROM t.seg\nSELECT k\nLIMIT 3\nOFFSET 1")
+    assert [r[0] for r in first.collect()] == [2, 3, 4] and len(first.inputFiles()) == 3
+    assert [r[0] for r in session.query("FROM t.seg\nFILTER k > 6\nLIMIT 3").collect()] == [7, 8]
+    assert session.query("FROM t.seg\nLIMIT 0").count() == 0
+
+
 # --- messages, server, shell
 
 
