@@ -6,7 +6,6 @@ It gives an expected grade and tail probabilities P(grade >= k), by which docume
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
@@ -44,50 +43,13 @@ def _named(raw: bytes, n_distinct: int) -> list[bytes]:
     return named
 
 
-def _numbers(names) -> list[int]:
-    return [zlib.crc32(x) % DIMENSIONS for x in names]
-
-
-def _of_word(word: bytes) -> list[int]:
-    """Feature numbers of a word and of how it begins."""
-    return _numbers([word, *(b"\x02" + word[:k] for k in (4, 5) if len(word) > k)])
-
-
 def features(text: bytes | None) -> np.ndarray:
     """Sorted distinct feature numbers of a whole text: its words, lower-cased, how they begin, and levels of its shape."""
     raw = bytes(text or b"")
     distinct = set(raw.translate(_WORD).split())
-    found = set(_numbers(_named(raw, len(distinct))))
-    for w in distinct:
-        found.update(_of_word(w))
-    return np.array(sorted(found), np.int32)
-
-
-class Scorer:
-    """w.x of texts, one pass over the distinct words of each; remembers which features of a word have a weight."""
-
-    #: Words that are remembered at once, some 10 MB.
-    WORDS = 50_000
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = dict(zip(np.flatnonzero(weights).tolist(), weights[weights != 0].tolist()))
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def __call__(self, text: bytes | None) -> float:
-        raw = bytes(text or b"")
-        distinct = set(raw.translate(_WORD).split())
-        found = set(_numbers(_named(raw, len(distinct)))) & self.weights.keys()
-        if len(self.known) > self.WORDS:
-            self.known.clear()
-        known = self.known
-        for w in distinct:
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(i for i in _of_word(w) if i in self.weights)
-            if got:
-                found.update(got)
-        # exact, so the order of a set makes no difference
-        return math.fsum(map(self.weights.__getitem__, found))
+    begins = {b"\x02" + w[:k] for w in distinct for k in (4, 5) if len(w) > k}
+    names = (*distinct, *begins, *_named(raw, len(distinct)))
+    return np.unique(np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % DIMENSIONS).astype(np.int32)
 
 
 def _shape(text: bytes) -> tuple[float, ...]:
@@ -221,9 +183,8 @@ def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str =
 
     def run(parts):
         m = shared.value
-        scorer = Scorer(m.weights)
         for b in parts:
-            tails = m.tails(np.fromiter(map(scorer, b.column(len(carry)).to_pylist()), float, b.num_rows))
+            tails = m.tails(np.fromiter((m.weights[features(t)].sum() for t in b.column(len(carry)).to_pylist()), float, b.num_rows))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(tails.sum(axis=1)), *[pa.array(np.ascontiguousarray(tails[:, k])) for k in range(n)]], [*carry, "expected_grade", *[f"tail_{k + 1}" for k in range(n)]])
 
     source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).cast("binary").alias("__text"))

@@ -522,8 +522,3 @@ def test_cumulative_link_gradient():
 
     grid = [(w, a, b) for w in np.arange(0.8, 1.61, 0.1) for a in np.arange(-1.1, -0.29, 0.1) for b in np.arange(0.5, 1.31, 0.1)]
     assert loss(model.weights[7], *model.thresholds) <= min(loss(*g) for g in grid) + 0.002
-    texts = [b"Some words, some MORE words\nand a line that is long enough to count as one: 12345", b"", b"words " * 500]
-    weights = rng.normal(size=quality.DIMENSIONS)
-    scorer = quality.Scorer(weights)
-    for _ in range(2):
-        assert [scorer(t) for t in texts] == pytest.approx([weights[quality.features(t)].sum() for t in texts])
