@@ -77,16 +77,17 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def blocks(words: list[list[bytes]], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, length, anchor) of each block of documents' words."""
+def blocks(words: list[list[bytes]], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, length, anchor, whether its anchor stands in it more than once) of each block of documents' words."""
     lengths = np.array([len(w) for w in words], np.int64)
     h = word_hashes([x for w in words if len(w) >= window for x in w])
     lengths[lengths < window] = 0
     doc = np.repeat(np.arange(len(words)), lengths)
     if not len(h):
         none = np.zeros(0, np.int64)
-        return none, none, none, h
-    anchors = sliding_min(gram_hashes(h, phrase), window - phrase + 1)
+        return none, none, none, h, np.zeros(0, bool)
+    grams = gram_hashes(h, phrase)
+    anchors = sliding_min(grams, window - phrase + 1)
     at = np.flatnonzero(doc[: len(doc) - window + 1] == doc[window - 1 :])
     anchors, own = anchors[at], doc[at]
     start = at - (np.cumsum(lengths) - lengths)[own]
@@ -95,7 +96,13 @@ def blocks(words: list[list[bytes]], window: int, phrase: int) -> tuple[np.ndarr
     first = np.flatnonzero(new)
     inside = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
     first = np.flatnonzero(inside % _RUN == 0)
-    return own[first], start[first], np.diff(first, append=len(at)), anchors[first]
+    lens, anchor = np.diff(first, append=len(at)), anchors[first]
+    # windows of one block can equal each other, where its anchor stands in it again
+    spans = lens + window - phrase
+    begin = np.cumsum(spans) - spans
+    places = np.repeat(at[first] - begin, spans) + np.arange(int(spans.sum()))
+    twice = np.add.reduceat((grams[places] == np.repeat(anchor, spans)).astype(np.int32), begin) > 1
+    return own[first], start[first], lens, anchor, twice
 
 
 def _split(texts: list) -> list[list[bytes]]:
@@ -119,7 +126,7 @@ def _send(batches: Iterator[pa.RecordBatch], answers: Answers, window: int, phra
     held = 0
     for b in batches:
         rows, words = b.column(0).to_numpy(), _split(b.column(1).to_pylist())
-        own, start, lens, anchor = blocks(words, window, phrase)
+        own, start, lens, anchor, _ = blocks(words, window, phrase)
         row = rows[own]
         file, short = row >> PLACE_BITS, anchor >> np.uint64(16)
         shared, often = np.zeros(len(own), bool), np.zeros(len(own), bool)
@@ -304,8 +311,8 @@ def substring_dedup(docs: DataFrame, carry: tuple = ("doc_id",), text: str = "te
     texts = rows.select("__row", "__text")
 
     def anchors(b):
-        own, _, _, anchor = blocks(_split(b.column(1).to_pylist()), window, phrase)
-        return b.column(0).to_numpy()[own], anchor >> np.uint64(16)
+        own, _, _, anchor, twice = blocks(_split(b.column(1).to_pylist()), window, phrase)
+        return np.concatenate([b.column(0).to_numpy()[x] for x in (own, own[twice])]), np.concatenate([anchor, anchor[twice]]) >> np.uint64(16)
 
     spool, answers = exchange(texts, anchors, texts.count() * _PER_DOCUMENT, hot_blocks)
     sent = texts.mapInArrow(lambda parts: _send(parts, answers, window, phrase), ", ".join(f"{n} {_SQL[t]}" for n, t in _SENT.items()))

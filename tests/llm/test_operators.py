@@ -386,6 +386,15 @@ def test_substring(docs, prose, window, phrase, hot):
     assert got == want and sum(x[2] for x in got) > 500
 
 
+def test_repeats_inside_one_block(spark):
+    """Windows that equal each other a word or few further on, in one document alone."""
+    texts = ["x " * 40, "p q " * 19, "u v w " * 13 + "end", "lead in " + "r s t k " * 12 + "and out", " ".join(f"n{i}" for i in range(60)) + " z" * 37, "y " * 35, "a " * 36, "b " * 70 + "c " * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for window, phrase in ((35, 8), (5, 2)):
+        got = rows_of(substring.substring_dedup(docs, window=window, phrase=phrase), "doc_id", "n_words", "n_removed", "kept")
+        assert got == sorted(((i, *x) for i, x in enumerate(plain_repeats(texts, window))), key=repr)
+
+
 def test_factors_stand_at_their_references(docs, prose):
     """Each factor's words, at its reference in another document or elsewhere in the same one."""
     out = substring.substring_dedup(docs, carry=("doc_id", "text"), window=10, phrase=4).collect()
