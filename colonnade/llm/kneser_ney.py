@@ -1,15 +1,25 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays in the
-shared folder and memory-mapped by the workers that score.
-
-Tokens are XXH64 hashes of words in ASCII lower case; a bigram is the top 48 bits of its two words' hashes, its key
-a 64-bit hash of both. Counts are summed within a chunk of a million tokens or two before they are shuffled, as packed
-arrays, to the owner of a key range; owners write one file of sorted keys and counts each. No owner gets more than
-one entry per key and chunk, so frequent words and contexts are no load on one task.
+"""LM scoring: an interpolated modified Kneser-Ney model of order 3 or 2, counted in Spark, stored as sorted hash arrays
+in the shared folder and memory-mapped by the workers that score.
+
+Tokens are XXH64 hashes of words in ASCII lower case, an n-gram's key a 64-bit hash of all its tokens' hashes. Counts
+are summed within a chunk of a million tokens or two, then sent to the owner of a key range, and each level is counted
+from the one above: owners of trigrams send what their contexts and their last two words need to the owners of pairs, and
+those what words need to the owners of words. No owner gets more than one entry per key and sender, so frequent words,
+pairs and contexts are no load on one task. What is sent is a list of the words used and places in it, as differences,
+byte planes and zstd.
+
+As is usual, a pair's count below order 3 is the number of distinct words before it, but pairs that begin a text keep
+their own counts; the first word of a text is predicted from the start alone.
+
+An owner's file holds, sorted within buckets of 8 to 16 keys by the upper bits, the lower 32 bits of each key. So a
+look-up takes an absent n-gram for one that is there with a probability of 16 in 2**32 at any size of the corpus. Words
+have all 64 bits.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -21,13 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spool, cut, partitions, shared_dir, tune
+from .common import cut, partitions, shared_dir, tune
 from .substring import mix
 
-END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\x00end", b"\x00start"))
-#: Tokens whose counts are summed before they are sent, or that are scored together.
+#: Another seed than that of words, so no word in a text is one of these.
+END, START = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in (b"end", b"start"))
+#: Tokens whose counts are summed before they are sent.
 CHUNK = 1_500_000
-_P = np.uint64(16)
+#: Owners are as many as shuffle partitions, or one for so many bytes of text.
+OWNER_BYTES = 24 << 20
+_HALF = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +57,12 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-def contexts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The token before each."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[np.cumsum(n) - n] = START
-    return before
+def _shifted(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """The value before each; ``start`` at the places of ``first``."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = start
+    return out
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,31 +73,109 @@ def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return order[first], k[first], *[np.add.reduceat(v[order], first) if len(k) else v for v in values]
 
 
-def _ranges(key: np.ndarray, shards: int) -> list[int]:
-    """Where each of ``shards`` near equal ranges of 64 bits begins in the sorted keys; the top 48 bits decide the range."""
-    return np.searchsorted(key, np.array([(s << 48) // shards << 16 for s in range(shards)], np.uint64)).tolist() + [len(key)]
+def _counts(c: np.ndarray) -> list[np.ndarray]:
+    """What a context needs of the counts of what follows it: to be summed, how many are 1, 2 and more."""
+    return [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
+
+
+def _place(key: np.ndarray, shards: int) -> np.ndarray:
+    """A key's place among the shards, as a number with 32 binary places; rises with the key."""
+    return (key >> _HALF) * np.uint64(shards)
+
+
+# --- messages
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, by byte planes."""
+    shape, planes = [], []
+    for c in columns:
+        top = int(c.max()) if len(c) else 0
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        shape += [len(c), width]
+        planes.append(np.ascontiguousarray(c.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes())
+    return struct.pack(f"<I{len(shape)}Q", len(columns), *shape) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    (k,) = struct.unpack_from("<I", data)
+    shape = struct.unpack_from(f"<{2 * k}Q", data, 4)
+    sizes = list(zip(shape[::2], shape[1::2]))
+    raw = np.frombuffer(pa.decompress(data[4 + 16 * k :], decompressed_size=sum(n * w for n, w in sizes), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, w in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(f"<u{w}"))
+        at += n * w
+    return out
+
+
+def _send_keys(kind: str, key: np.ndarray, shards: int, values: list[np.ndarray]) -> list[tuple]:
+    """One row per shard with some of the sorted distinct keys, and their values."""
+    edges = np.searchsorted(_place(key, shards) >> _HALF, np.arange(shards + 1, dtype=np.uint64)).tolist()
+    return [
+        (kind, s, _pack(np.diff(key[lo:hi], prepend=np.uint64(0)), *[v[lo:hi] for v in values]))
+        for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi
+    ]
 
 
-def _six(h: np.ndarray) -> bytes:
-    """Top 48 bits of each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def _receive_keys(blobs: list[bytes], n_values: int) -> list[np.ndarray]:
+    """Distinct keys of all messages in order and the sums of their values."""
+    got = [_unpack(b) for b in blobs]
+    key = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(g[0], dtype=np.uint64) for g in got]])
+    values = [np.concatenate([np.zeros(0, np.int64), *[g[i + 1].astype(np.int64) for g in got]]) for i in range(n_values)]
+    return list(summed(key, *values)[1:])
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def _send_grams(kind: str, key: np.ndarray, shards: int, words: np.ndarray, ids: list[np.ndarray], count: np.ndarray) -> list[tuple]:
+    """One row per shard with some of the n-grams: the words used, each n-gram's words as places among them, its count.
 
+    The n-grams must rise by ``ids``, which are places in ``words``; the more frequent words should come first.
+    """
+    shard = (_place(key, shards) >> _HALF).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
+    local = np.zeros(len(words), np.int64)
+    out = []
+    for s, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        if lo == hi:
+            continue
+        own = [c[order[lo:hi]] for c in ids]
+        local[:] = 0
+        for c in own:
+            local[c] = 1
+        used = np.flatnonzero(local)
+        local[used] = np.arange(len(used))
+        same, sent = np.ones(hi - lo, bool), []
+        for c in own:
+            c = local[c]
+            sent.append(np.where(same, np.diff(c, prepend=0), c))
+            same &= np.concatenate([[False], c[1:] == c[:-1]])
+        out.append((kind, s, _pack(words[used], *sent, count[order[lo:hi]])))
+    return out
 
-def _bytes_of_counts(count: np.ndarray, *sent: np.ndarray):
-    """Counts as single bytes: an entry with more is sent as several."""
-    times = np.maximum(1, -(-count // 255))
-    if (times > 1).any():
-        at = np.repeat(np.arange(len(count)), times)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        count = np.minimum(255, count[at] - 255 * nth)
-        sent = tuple(x[at] for x in sent)
-    return count.astype(np.uint8), *sent
+
+def _receive_grams(blobs: list[bytes], n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Words, the more frequent ones first, the n-grams of all messages as places among them, and counts."""
+    lists, columns, counts, at = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] for _ in range(n)], [np.zeros(0, np.int64)], 0
+    for b in blobs:
+        words, *steps, count = _unpack(b)
+        same = np.ones(len(count), bool)
+        for held, x in zip(columns, steps):
+            runs = np.cumsum(x, dtype=np.int64)
+            begin = np.concatenate([[True], ~same[1:]])
+            since = (runs - x)[begin][np.cumsum(begin) - 1]
+            c = runs - since
+            held.append(c + at)
+            same &= np.concatenate([[False], c[1:] == c[:-1]])
+        lists.append(words.astype(np.uint64))
+        counts.append(count.astype(np.int64))
+        at += len(words)
+    words, place = np.unique(np.concatenate(lists), return_inverse=True)
+    ids = [place[np.concatenate(c)] for c in columns]
+    falling = np.argsort(-np.bincount(ids[-1], minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[falling] = np.arange(len(words))
+    return words[falling], [rank[c] for c in ids], np.concatenate(counts)
 
 
 # --- files in the shared folder
@@ -95,8 +187,8 @@ def _local(path: str) -> str | None:
     return url.path if url.scheme in ("", "file") else None
 
 
-def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> dict:
-    """Writes the arrays into one new file; where each is."""
+def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
+    """Writes the arrays into one new file; its path and where each is."""
     import pyarrow.fs as fs
 
     path = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
@@ -111,8 +203,9 @@ def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> dict:
         for key, a in arrays.items():
             parts.append(f"{key},{a.dtype.str},{len(a)},{at}")
             out.write(a.tobytes())
-            at += a.nbytes
-    return {"path": path, "parts": ";".join(parts)}
+            out.write(bytes(-a.nbytes % 8))
+            at += a.nbytes + -a.nbytes % 8
+    return f"{path}\t{';'.join(parts)}"
 
 
 def _map(path: str, parts: str) -> dict[str, np.ndarray]:
@@ -127,34 +220,87 @@ def _map(path: str, parts: str) -> dict[str, np.ndarray]:
             while block := src.read(1 << 22):
                 dst.write(block)
         own = copy = dst.name
+    whole = np.asarray(np.memmap(own, np.uint8, "r"))
     out = {}
     for key, dtype, n, at in (x.split(",") for x in parts.split(";")):
-        out[key] = np.memmap(own, np.dtype(dtype), "r", int(at), (int(n),)) if int(n) else np.zeros(0, np.dtype(dtype))
+        out[key] = whole[int(at) : int(at) + int(n) * np.dtype(dtype).itemsize].view(dtype)
     if copy:
         os.unlink(copy)
     return out
 
 
-def _look_up(keys: np.ndarray, arrays: dict[str, np.ndarray], by: str) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key in a sorted array, and whether it is there."""
-    table = arrays[by]
-    at = np.searchsorted(table, keys)
-    at = np.minimum(at, max(0, len(table) - 1))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+def _columns(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Counts as single bytes; the places and values of those that need more stand beside them."""
+    out = {}
+    for name, x in values.items():
+        large = np.flatnonzero(x >= 255)
+        out |= {name: np.minimum(x, 255).astype(np.uint8), f"{name} at": large.astype("<u4"), f"{name} is": x[large].astype("<u8")}
+    return out
+
+
+def _value(arrays: dict[str, np.ndarray], name: str, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    out[there] = arrays[name][at[there]]
+    large = np.flatnonzero(out == 255)
+    out[large] = arrays[f"{name} is"][np.searchsorted(arrays[f"{name} at"], at[large])]
+    return out
+
+
+def _hashed(key: np.ndarray, shards: int, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Arrays for the sorted keys of one shard: where buckets begin, the lower halves of the keys in each, the values."""
+    bits = (len(key) >> 4).bit_length()
+    bucket = _bucket(key, shards, bits)
+    order = np.argsort(bucket << _HALF | key & _LOW, kind="stable")
+    begins = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
+    return {"begins": begins, "half": (key[order] & _LOW).astype("<u4"), **_columns({k: v[order] for k, v in values.items()})}
+
+
+def _bucket(key: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    return (_place(key, shards) & _LOW) >> np.uint64(32 - bits)
+
+
+def _look_up(key: np.ndarray, shards: int, arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the arrays of its shard, and whether it is there."""
+    if "word" in arrays:
+        table = arrays["word"]
+        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+        return at, table[at] == key
+    begins, half = arrays["begins"], arrays["half"]
+    bucket, want = _bucket(key, shards, (len(begins) - 1).bit_length() - 1).astype(np.int64), (key & _LOW).astype(np.uint32)
+    lo, end = begins[bucket].astype(np.int64), begins[bucket + 1].astype(np.int64)
+    hi, last = end, len(half) - 1
+    for _ in range(int((hi - lo).max()).bit_length()):
+        mid = (lo + hi) >> 1
+        right = (lo < hi) & (half[np.minimum(mid, last)] < want)
+        lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, mid)
+    at = np.minimum(lo, last)
+    return at, (lo < end) & (half[at] == want)
+
+
+def interpolated(count, total, n1, n2, n3, discounts, lower) -> np.ndarray:
+    """Probabilities from discounted counts and those of the order below; the latter where the context is not known."""
+    d = np.array([0.0, *discounts])
+    safe = np.maximum(total, 1)
+    p = np.maximum(count - d[np.minimum(count, 3)], 0) / safe + (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe * lower
+    return np.where(total > 0, p, lower)
+
+
+_CONTEXT = ("total", "n1", "n2", "n3")
 
 
 @dataclass
 class Model:
-    """Numbers of the model and where its files are; small, whatever the corpus."""
+    """Numbers of the model and where its files are: one per shard and level, None for an empty one."""
 
+    order: int
     shards: int
-    words: list[tuple[str, str]]
-    bigrams: list[tuple[str, str]]
+    files: dict[str, list]
     n_tokens: int
     n_words: int
-    n_bigrams: int
-    discounts: tuple[float, float, float]
-    low_discounts: tuple[float, float, float]
+    n_pairs: int
+    #: of triples, pairs, words
+    discounts: tuple[tuple, tuple, tuple]
+    #: How many words stand after 1, 2 and more distinct ones.
     low_counts: tuple[int, int, int]
     folder: str
     _maps: dict = field(default_factory=dict, repr=False, compare=False)
@@ -162,42 +308,41 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_maps": {}}
 
-    def _find(self, kind: str, keys: np.ndarray, by: str, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of sorted keys, 0 where a key is not in the model, shard by shard."""
-        files = self.words if kind == "words" else self.bigrams
+    def _find(self, level: str, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        """Values of any keys, 0 where a key is not in the model, shard by shard."""
+        keys, back = np.unique(keys, return_inverse=True)
         out = [np.zeros(len(keys), np.int64) for _ in names]
-        edges = _ranges(keys, self.shards)
-        for s in range(self.shards):
-            lo, hi = edges[s], edges[s + 1]
-            if lo == hi or files[s] is None:
+        shard = (_place(keys, self.shards) >> _HALF).astype(np.int64)
+        first = np.flatnonzero(np.diff(shard, prepend=-1))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+            s = int(shard[lo])
+            if self.files[level][s] is None:
                 continue
-            if (kind, s) not in self._maps:
-                self._maps[kind, s] = _map(*files[s])
-            arrays = self._maps[kind, s]
-            at, there = _look_up(keys[lo:hi], arrays, by)
+            if (level, s) not in self._maps:
+                self._maps[level, s] = _map(*self.files[level][s])
+            arrays = self._maps[level, s]
+            at, there = _look_up(keys[lo:hi], self.shards, arrays)
             for o, name in zip(out, names):
-                if len(arrays[name]):
-                    o[lo:hi] = np.where(there, arrays[name][at], 0)
-        return out
-
-    def probabilities(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(model probability, training count) of each token after the one before it."""
-        distinct, inverse = np.unique(word, return_inverse=True)
-        count, continued = (x[inverse] for x in self._find("words", distinct, "word", ("count", "continued")))
-        # a word's place among the arrays is by all 64 bits, a context's statistics stand with its word
-        heads, back = np.unique(before, return_inverse=True)
-        total, n1, n2, n3 = (x[back] for x in self._find("words", heads, "word", ("total", "n1", "n2", "n3")))
-        key = mix(before >> _P, word >> _P)
-        keys, at = np.unique(key, return_inverse=True)
-        (c,) = self._find("bigrams", keys, "key", ("count",))
-        c = c[at]
-        d, e = np.array([0.0, *self.discounts]), np.array([0.0, *self.low_discounts])
-        base = max(1, self.n_bigrams)
-        spare = sum(x * y for x, y in zip(self.low_discounts, self.low_counts)) / base if self.n_bigrams else 1.0
-        low = np.maximum(continued - e[np.minimum(continued, 3)], 0) / base + spare / (self.n_words + 1)
-        safe = np.maximum(total, 1)
-        high = np.maximum(c - d[np.minimum(c, 3)], 0) / safe + (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe * low
-        return np.where(total > 0, high, low), count
+                o[lo:hi] = _value(arrays, name, at, there)
+        return [o[back] for o in out]
+
+    def probabilities(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(model probability, training count) of each token of texts with ``n`` tokens each."""
+        first = np.cumsum(n) - n
+        before = _shifted(h, first, START)
+        count, met = self._find("word", h, ("count", "met"))
+        e = np.array([0.0, *self.discounts[2]])
+        base = max(1, self.n_pairs)
+        spare = sum(x * y for x, y in zip(self.discounts[2], self.low_counts)) / base if self.n_pairs else 1.0
+        p = np.maximum(met - e[np.minimum(met, 3)], 0) / base + spare / (self.n_words + 1)
+        pair = mix(before, h)
+        c, *context = self._find("pair", pair, ("count", *_CONTEXT))
+        p = interpolated(c, *self._find("word", before, _CONTEXT), self.discounts[1], p)
+        if self.order == 3:
+            # a token's context is the pair that ends before it
+            (c,) = self._find("triple", mix(_shifted(pair, first, 0), h), ("count",))
+            p = interpolated(c, *[_shifted(x, first, 0) for x in context], self.discounts[0], p)
+        return p, count
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -210,49 +355,21 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(out)
 
 
-_PACK = "kind string, shard int, data binary"
+_ROW = "kind string, shard int, data binary"
 
 
-def _pack(kind: str, key: np.ndarray, shards: int, columns: list[np.ndarray], wide: int) -> list[tuple]:
-    """One row per shard: the columns' slices one after another. The first ``wide`` columns are 48-bit hashes."""
-    edges = _ranges(key, shards)
-    out = []
-    for s in range(shards):
-        lo, hi = edges[s], edges[s + 1]
-        if lo < hi:
-            data = b"".join(_six(c[lo:hi]) if i < wide else np.ascontiguousarray(c[lo:hi]).tobytes() for i, c in enumerate(columns))
-            out.append((kind, s, (hi - lo).to_bytes(8, "little") + data))
-    return out
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _table(rows: list[tuple]) -> pa.RecordBatch:
     kind, shard, data = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], ["kind", "shard", "data"])
 
 
-def _unpack(blobs: list[bytes], dtypes: list, wide: int) -> list[np.ndarray]:
-    got: list[list] = [[] for _ in range(wide + len(dtypes))]
-    for b in blobs:
-        n, at = int.from_bytes(b[:8], "little"), 8
-        for i in range(wide):
-            got[i].append(_from_six(b[at : at + 6 * n]))
-            at += 6 * n
-        for i, d in enumerate(dtypes):
-            size = n * np.dtype(d).itemsize
-            got[wide + i].append(np.frombuffer(b[at : at + size], d))
-            at += size
-    empty = [np.uint64] * wide + list(dtypes)
-    return [np.concatenate(x) if x else np.zeros(0, d) for x, d in zip(got, empty)]
-
-
-def _chunks(parts, column: int):
-    """Tokens of the texts, about CHUNK at a time, and those before them."""
+def _chunks(parts):
+    """Tokens of the texts and of how many each text has, about CHUNK at a time."""
     held, size = [], 0
     for b in parts:
         if b.num_rows:
-            h, n = tokens(b.column(column).to_pylist())
-            held.append((h, contexts(h, n)))
-            size += len(h)
+            held.append(tokens(b.column(0).to_pylist()))
+            size += len(held[-1][0])
         if size > CHUNK:
             yield [np.concatenate(x) for x in zip(*held)]
             held, size = [], 0
@@ -260,97 +377,113 @@ def _chunks(parts, column: int):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
+def _count_chunk(h: np.ndarray, n: np.ndarray, order: int, shards: int) -> list[tuple]:
+    words, ids, times = np.unique(h, return_inverse=True, return_counts=True)
+    rows = _send_keys("count", words, shards, [times])
+    falling = np.argsort(-times, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[falling] = np.arange(len(words))
+    words = np.append(words[falling], START)
+    first, k = np.cumsum(n) - n, len(words)
+    w = rank[ids]
+    v = _shifted(w, first, k - 1)
+    pair, place = np.unique(v * k + w, return_inverse=True)
+    if order == 3:
+        inner = np.ones(len(h), bool)
+        inner[first] = False
+        triple, c = np.unique(place[inner] * k + _shifted(v, first, 0)[inner], return_counts=True)
+        a, (b, z) = triple % k, np.divmod(pair[triple // k], k)
+        rows += _send_grams("triple", mix(mix(words[a], words[b]), words[z]), shards, words, [b, z, a], c)
+        place = place[first]
+    c = np.bincount(place, minlength=len(pair))
+    b, z = np.divmod(pair[c > 0], k)
+    return rows + _send_grams("pair", mix(words[b], words[z]), shards, words, [b, z], c[c > 0])
+
+
+def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
     """Counts the texts and writes the model's files below the shared folder; ``drop`` deletes them."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     tune(spark)
-    shards = partitions(spark)
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // OWNER_BYTES))
     folder = f"{shared_dir(spark)}/colonnade-lm-{uuid.uuid4().hex}"
 
     def count(parts):
-        for h, before in _chunks(parts, 0):
-            _, word, c = summed(h, np.ones(len(h), np.int64))
-            c8, w8 = _bytes_of_counts(c, word)
-            rows = _pack("word", w8, shards, [w8, c8], 0)
-            a, b = before >> _P, h >> _P
-            first, key, c = summed(mix(a, b), np.ones(len(h), np.int64))
-            c8, key, head, tail = _bytes_of_counts(c, key, before[first], h[first])
-            rows += _pack("pair", key, shards, [head, tail, c8], 2)
-            yield _batch(rows)
-
-    packed = texts.select(F.col(text).cast("binary")).mapInArrow(count, _PACK)
-
-    def own(key, t):
-        """Merges one range of words or pairs; writes the pairs; sends on what belongs to words."""
-        kind, shard = key[0].as_py(), key[1].as_py()
-        blobs = t["data"].to_pylist()
-        if kind == "word":
-            word, c = _unpack(blobs, [np.uint64, np.uint8], 0)
-            _, word, c = summed(word, c.astype(np.int64))
-            return pa.Table.from_batches([_batch([("count", shard, len(word).to_bytes(8, "little") + word.tobytes() + c.tobytes())])])
-        head, tail, c = _unpack(blobs, [np.uint8], 2)
-        first, k, c = summed(mix(head >> _P, tail >> _P), c.astype(np.int64))
-        head, tail = head[first], tail[first]
-        small = np.minimum(c, 65535).astype(np.uint16) if len(c) and c.max() > 255 else c.astype(np.uint8)
-        if len(c) and c.max() > 65535:
-            small = c.astype(np.uint64)
-        where = _store(folder, f"pairs-{shard}", {"key": k, "count": small})
-        _, h, total, n1, n2, n3 = summed(head, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        _, w, met = summed(tail, np.ones(len(tail), np.int64))
-        rows = _pack("head", h, shards, [h, total, n1, n2, n3], 1) + _pack("tail", w, shards, [w, met], 1)
-        facts = [len(k), *[int((c == i).sum()) for i in (1, 2, 3, 4)]]
-        rows.append(("file", shard, ("\t".join([where["path"], where["parts"], *map(str, facts)])).encode()))
-        return pa.Table.from_batches([_batch(rows)])
-
-    # written once: the files of the pairs are a side effect and must not be made again by a second use
-    spool = Spool(packed.groupBy("kind", "shard").applyInArrow(own, _PACK), "lm-counts")
-    merged = spool.read()
-    pairs = merged.filter("kind = 'file'").collect()  # one row per shard
-
-    def words(key, t):
-        shard = key[0].as_py()
-        by: dict[str, list] = {"count": [], "head": [], "tail": []}
-        for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
-            by[k].append(d)
-        word, c = _unpack(by["count"], [np.uint64, np.int64], 0)
-        h, total, n1, n2, n3 = _unpack(by["head"], [np.int64] * 4, 1)
-        w, met = _unpack(by["tail"], [np.int64], 1)
-        _, h, total, n1, n2, n3 = summed(h, total, n1, n2, n3)
-        _, w, met = summed(w, met)
+        for h, n in _chunks(parts):
+            yield _table(_count_chunk(h, n, order, shards))
+
+    def file(level: str, shard: int, arrays: dict, c: np.ndarray, total: int) -> tuple:
+        facts = [len(c), total, *[int((c == i).sum()) for i in (1, 2, 3, 4)], int((c > 2).sum())]
+        return "file", shard, "\t".join([level, _store(folder, f"{level}-{shard}", arrays), *map(str, facts)]).encode()
+
+    def triples(shard: int, blobs: dict) -> list[tuple]:
+        words, (v, w, u), c = _receive_grams(blobs["triple"], 3)
+        head = mix(words[u], words[v])
+        at, key, c = summed(mix(head, words[w]), c)
+        rows = [file("triple", shard, _hashed(key, shards, {"count": c}), c, 0)]
+        _, head, *context = summed(head[at], *_counts(c))
+        rows += _send_keys("head", head, shards, context)
+        _, tail, met = summed(v[at] << 32 | w[at], np.ones(len(at), np.int64))
+        v, w = tail >> 32, tail & 0xFFFFFFFF
+        return rows + _send_grams("pair", mix(words[v], words[w]), shards, words, [v, w], met)
+
+    def pairs(shard: int, blobs: dict) -> list[tuple]:
+        words, (v, w), c = _receive_grams(blobs["pair"], 2)
+        at, key, c = summed(mix(words[v], words[w]), c)
+        head, *context = _receive_keys(blobs["head"], 4)
+        place = np.searchsorted(key, head)  # a context is a pair of the texts
+        values = {"count": c}
+        for name, x in zip(_CONTEXT, context):
+            values[name] = np.zeros(len(key), np.int64)
+            values[name][place] = x
+        rows = [file("pair", shard, _hashed(key, shards, values), c, 0)]
+        _, before, *context = summed(words[v[at]], *_counts(c))
+        _, after, met = summed(words[w[at]], np.ones(len(at), np.int64))
+        return rows + _send_keys("context", before, shards, context) + _send_keys("met", after, shards, [met])
+
+    def vocabulary(shard: int, blobs: dict) -> list[tuple]:
+        got = {("count",): _receive_keys(blobs["count"], 1), _CONTEXT: _receive_keys(blobs["context"], 4), ("met",): _receive_keys(blobs["met"], 1)}
         # the start is a context but no token: it gets an entry with count 0
-        if len(h) and (i := np.searchsorted(h, START >> _P << _P)) < len(h) and h[i] == START >> _P << _P and START not in word:
-            at = np.searchsorted(word, START)
-            word, c = np.insert(word, at, START), np.insert(c, at, 0)
-
-        def spread(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-            if not len(keys):
-                return np.zeros(len(word), np.int64)
-            at = np.minimum(np.searchsorted(keys, word >> _P << _P), len(keys) - 1)
-            return np.where(keys[at] == word >> _P << _P, values[at], 0)
-
-        def narrow(x: np.ndarray) -> np.ndarray:
-            return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x.astype(np.uint64)
-
-        continued = spread(w, met)
-        columns = {"count": c, "continued": continued, "total": spread(h, total), "n1": spread(h, n1), "n2": spread(h, n2), "n3": spread(h, n3)}
-        where = _store(folder, f"words-{shard}", {"word": word, **{k: narrow(v) for k, v in columns.items()}})
-        facts = [int(c.sum()), int((c > 0).sum()), *[int((met == i).sum()) for i in (1, 2, 3, 4)], int((met > 2).sum())]
-        return pa.Table.from_batches([_batch([("file", shard, ("\t".join([where["path"], where["parts"], *map(str, facts)])).encode())])])
-
-    vocabulary = merged.filter("kind <> 'file'").groupBy("shard").applyInArrow(words, _PACK).collect()  # one row per shard
-    spool.drop()
-
-    def files(rows) -> tuple[list, np.ndarray]:
-        out, facts = [None] * shards, []
-        for r in rows:
-            path, parts, *numbers = bytes(r["data"]).decode().split("\t")
-            out[r["shard"]] = (path, parts)
-            facts.append([int(x) for x in numbers])
-        return out, np.array(facts).sum(axis=0) if facts else np.zeros(7, np.int64)
-
-    bigram_files, b = files(pairs)
-    word_files, v = files(vocabulary)
-    return Model(shards, word_files, bigram_files, int(v[0]), int(v[1]), int(b[0]), discounts([int(x) for x in b[1:5]]), discounts([int(x) for x in v[2:6]]), (int(v[2]), int(v[3]), int(v[6])), folder)
+        word = np.union1d(got["count",][0], got[_CONTEXT][0])
+        values = {}
+        for names, (key, *columns) in got.items():
+            for name, x in zip(names, columns):
+                values[name] = np.zeros(len(word), np.int64)
+                values[name][np.searchsorted(word, key)] = x
+        total, known = int(values["count"].sum()), int((values["count"] > 0).sum())
+        kind, shard, data = file("word", shard, {"word": word, **_columns(values)}, values["met"], total)
+        return [(kind, shard, data + f"\t{known}".encode())]
+
+    def owned(rows: DataFrame, kinds: tuple[str, ...], merge) -> DataFrame:
+        """Merges what owners get of these kinds; other rows pass."""
+
+        def run(key, t):
+            if not key[0].as_py():
+                return t.select(["kind", "shard", "data"])
+            blobs = {k: [] for k in kinds}
+            for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
+                blobs[k].append(d)
+            return pa.Table.from_batches([_table(merge(key[1].as_py(), blobs))])
+
+        return rows.groupBy(F.col("kind").isin(*kinds).alias("__own"), "shard").applyInArrow(run, _ROW)
+
+    rows = texts.select(F.col(text).cast("binary")).mapInArrow(count, _ROW)
+    if order == 3:
+        rows = owned(rows, ("triple",), triples)
+    rows = owned(owned(rows, ("pair", "head"), pairs), ("count", "context", "met"), vocabulary)
+
+    files = {level: [None] * shards for level in ("triple", "pair", "word")}
+    facts = {level: np.zeros(8, np.int64) for level in files}
+    for r in rows.collect():  # one row per shard and level
+        level, path, parts, *numbers = bytes(r["data"]).decode().split("\t")
+        # a shard without keys has a file without entries
+        files[level][r["shard"]] = (path, parts) if numbers[0] != "0" or level == "word" else None
+        facts[level][: len(numbers)] += np.array([int(x) for x in numbers])
+    d = tuple(discounts(facts[level][2:6].tolist()) for level in files)
+    low = facts["word"]
+    return Model(order, shards, files, int(low[1]), int(low[7]), int(facts["pair"][0]), d, (int(low[2]), int(low[3]), int(low[6])), folder)
 
 
 def drop(spark, model: Model) -> None:
@@ -362,6 +495,7 @@ def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str =
     """One row per row of ``docs``: the carried columns, n_tokens, n_known, base_score, score (log10 probability of the text), perplexity.
 
     Null and empty texts are one end token; repeated rows are rows of their own; an empty table gives no rows.
+    Columns not carried are not read, whatever their names; a text of any length is scored whole.
     """
     tune(docs.sparkSession)
     n_carry = len(carry)
@@ -371,7 +505,7 @@ def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str =
             if not b.num_rows:
                 continue
             h, n = tokens(b.column(n_carry).to_pylist())
-            p, c = model.probabilities(contexts(h, n), h)
+            p, c = model.probabilities(h, n)
             first = np.cumsum(n) - n
             base = np.log10((c + 1) / (model.n_tokens + model.n_words + 1))
             score = np.add.reduceat(np.log10(p), first)
@@ -386,7 +520,7 @@ def score(docs: DataFrame, model: Model, carry: tuple = ("doc_id",), text: str =
     return source.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def held_out_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, held: int = 2) -> DataFrame:
+def held_out_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = 7, held: int = 2, order: int = 3) -> DataFrame:
     """Learns from the documents outside one fold and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     A document's fold is the CRC-32 of its id as text, modulo ``parts``; a null id counts as the empty text. With
@@ -395,7 +529,7 @@ def held_out_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
     rows = docs.select(F.col(doc_id), (fold == held).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    model = train(rows.filter(~F.col("held_out")))
+    model = train(rows.filter(~F.col("held_out")), order=order)
     out = score(rows, model, (doc_id, "held_out"))
     out = cut(out.withColumn("train_tokens", F.lit(model.n_tokens).cast("long")))
     drop(spark, model)

@@ -47,53 +47,95 @@ def test_exact_dedup(docs, prose):
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_language_model(docs, prose):
-    out = kneser_ney.held_out_scores(docs).collect()
+@pytest.mark.parametrize("order", [3, 2])
+def test_language_model(docs, prose, order):
+    out = kneser_ney.held_out_scores(docs, order=order).collect()
     assert len(out) == len(prose)
     sequences = [([w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["</s>"], i) for i, t, *_ in prose]
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    train = [s for s, i in sequences if not fold(i)]
-    c1, c2 = Counter(w for s in train for w in s), Counter(b for s in train for b in zip(["<s>", *s], s))
+    train = [["<s>", *s] for s, i in sequences if not fold(i)]
+    c1 = Counter(w for s in train for w in s[1:])
     n, v = sum(c1.values()), len(c1)
+    grams = {k: Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (2, 3)}
+    # below the highest order a count is of distinct words before, but for what begins a text
+    counts = {order: grams[order]}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        if k > 1:
+            counts[k].update({g: c for g, c in grams[k].items() if g[0] == "<s>"})
 
     def disc(counts):
         k = [0] + [sum(1 for c in counts if c == j) for j in (1, 2, 3, 4)]
         y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0
         return [0] + [min(max(j - (j + 1) * y * k[j + 1] / k[j], 0), j) or 0.5 * j if k[j] and k[j + 1] else 0.5 * j for j in (1, 2, 3)]
 
-    met, heads = Counter(b for _, b in c2), defaultdict(list)
-    for (a, _), c in c2.items():
-        heads[a].append(c)
-    d, e = disc(c2.values()), disc(met.values())
-    spare = sum(e[min(c, 3)] for c in met.values()) / len(c2)
-
-    def low(w):
-        return max(met[w] - e[min(met[w], 3)], 0) / len(c2) + spare / (v + 1)
-
-    def p(a, w):
-        if a not in heads:
-            return low(w)
-        c = c2[a, w]
-        return max(c - d[min(c, 3)], 0) / sum(heads[a]) + sum(d[min(x, 3)] for x in heads[a]) / sum(heads[a]) * low(w)
-
-    for a in ("<s>", "alpha", "unseen"):
-        assert sum(p(a, w) for w in c1) + p(a, "never") == pytest.approx(1)
-    want = sorted((i if i is not None else -1, fold(i), len(s), sum(1 for w in s if c1[w]), n, round(sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s), 6), round(sum(math.log10(p(a, w)) for a, w in zip(["<s>", *s], s)), 6)) for s, i in sequences)
+    d = {k: disc(counts[k].values()) for k in counts}
+    follow = defaultdict(list)
+    for k in counts:
+        for g, c in counts[k].items():
+            follow[g[:-1]].append(c)
+
+    def p(context, w):
+        k = len(context) + 1
+        if k == 1:
+            total = sum(counts[1].values())
+            return max(counts[1][w,] - d[1][min(counts[1][w,], 3)], 0) / total + sum(d[1][min(c, 3)] for c in counts[1].values()) / total / (v + 1)
+        lower, after = p(context[1:], w), follow[context]
+        if not after:
+            return lower
+        c = counts[k][(*context, w)]
+        return max(c - d[k][min(c, 3)], 0) / sum(after) + sum(d[k][min(x, 3)] for x in after) / sum(after) * lower
+
+    for context in [("<s>",), ("alpha",), ("unseen",)] + [("<s>", "alpha"), train[0][1:3], ("mu", "unseen")] * (order == 3):
+        assert sum(p(tuple(context), w) for w in c1) + p(tuple(context), "never") == pytest.approx(1)
+
+    def score(s):
+        s = ["<s>", *s]
+        return sum(math.log10(p(tuple(s[max(0, i - order + 1) : i]), s[i])) for i in range(1, len(s)))
+
+    want = sorted((i if i is not None else -1, fold(i), len(s), sum(1 for w in s if c1[w]), n, round(sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s), 6), round(score(s), 6)) for s, i in sequences)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out)
     for x, y in zip(got, want):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], abs=2e-6)
 
 
-def test_counts_above_a_byte(spark):
+@pytest.mark.parametrize("order", [3, 2])
+def test_counts_above_a_byte(spark, order):
     df = spark.createDataFrame([(0, "a b " * 90_000), (1, "b a")], "doc_id long, text string")
-    model = kneser_ney.train(df)
+    model = kneser_ney.train(df, order=order)
     assert model.n_tokens == 180_004 and model.n_words == 3
-    h, n = kneser_ney.tokens([b"a b a"])
-    p, c = model.probabilities(kneser_ney.contexts(h, n), h)
-    assert c.tolist() == [90_001, 90_001, 90_001, 2] and p[1] > 0.99
+    p, c = model.probabilities(*kneser_ney.tokens([b"a b a"]))
+    assert c.tolist() == [90_001, 90_001, 90_001, 2] and p[order - 1] > 0.99
     kneser_ney.drop(spark, model)
 
 
+def test_grams_survive_their_messages():
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2))
+    ids = np.unique(rng.integers(0, len(words), (20_000, 3)) // rng.integers(1, 900, (20_000, 1)), axis=0)
+    count = rng.integers(1, 70_000, len(ids))
+    columns = list(ids.T)
+    key = kneser_ney.mix(kneser_ney.mix(words[columns[0]], words[columns[1]]), words[columns[2]])
+    want = Counter({tuple(words[x].tolist()): int(c) for x, c in zip(ids, count)})
+    for shards in (1, 7, 70_000):
+        sent = kneser_ney._send_grams("x", key, shards, words, columns, count)
+        w, got, c = kneser_ney._receive_grams([data for _, _, data in sent], 3)
+        assert Counter(dict(zip(zip(*[w[g].tolist() for g in got]), c.tolist()))) == want
+
+
+def test_look_up_of_every_key_and_of_no_other():
+    rng = np.random.default_rng(4)
+    for n, shards in ((1, 1), (15, 1), (5000, 3)):
+        key = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        own = key[(kneser_ney._place(key, shards) >> np.uint64(32)) == 0]
+        value = rng.integers(1, 600, len(own))
+        arrays = kneser_ney._hashed(own, shards, {"count": value})
+        at, there = kneser_ney._look_up(own, shards, arrays)
+        assert there.all() and (kneser_ney._value(arrays, "count", at, there) == value).all()
+        at, there = kneser_ney._look_up(own + np.uint64(1), shards, arrays)
+        assert not there.any() and not kneser_ney._value(arrays, "count", at, there).any()
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
