@@ -1,19 +1,19 @@
 """LM scoring: an interpolated modified Kneser-Ney model of order 3 or 2, counted in Spark, stored as sorted hash arrays
 in the shared folder and memory-mapped by the workers that score.
 
-Tokens are XXH64 hashes of words in ASCII lower case, an n-gram's key a 64-bit hash of all its tokens' hashes. Counts
-are summed within a chunk of a million tokens or two, then sent to the owner of a key range, and each level is counted
-from the one above: owners of trigrams send what their contexts and their last two words need to the owners of pairs, and
-those what words need to the owners of words. No owner gets more than one entry per key and sender, so frequent words,
-pairs and contexts are no load on one task. What is sent is a list of the words used and places in it, as differences,
-byte planes and zstd.
+Words in ASCII lower case are counted by their XXH64 hashes and numbered, the more frequent ones first. An n-gram's key is
+a 64-bit hash of its words' numbers. Its counts are summed within a chunk of some million tokens, then sent to the owner of
+a key range, and each level is counted from the one above: owners of triples send what their first two and their last two
+words need to the owners of pairs, and those what words need to the owners of words. No owner gets more than one entry per
+key and sender, so frequent words, pairs and contexts are no load on one task. What is sent is sorted numbers of words, as
+differences, byte planes and zstd.
 
 As is usual, a pair's count below order 3 is the number of distinct words before it, but pairs that begin a text keep
 their own counts; the first word of a text is predicted from the start alone.
 
 An owner's file holds, sorted within buckets of 8 to 16 keys by the upper bits, the lower 32 bits of each key. So a
 look-up takes an absent n-gram for one that is there with a probability of 16 in 2**32 at any size of the corpus. Words
-have all 64 bits.
+are told apart by all 64 bits.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, shared_dir, tune
 from .substring import mix
 
-#: Another seed than that of words, so no word in a text is one of these.
-END, START = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in (b"end", b"start"))
-#: Tokens whose counts are summed before they are sent.
-CHUNK = 1_500_000
+#: Another seed than that of words, so no word in a text is the end.
+END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
+#: Numbers of words begin at 1; the start of a text, and any word that the model does not have.
+START, UNKNOWN = 0, 1 << 62
+#: Tokens whose counts are summed before they are sent: as words, as n-grams.
+WORD_CHUNK, CHUNK = 4_000_000, 2_000_000
 #: Owners are as many as shuffle partitions, or one for so many bytes of text.
 OWNER_BYTES = 24 << 20
 _HALF = np.uint64(32)
@@ -78,6 +80,22 @@ def _counts(c: np.ndarray) -> list[np.ndarray]:
     return [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
 
 
+def _code(number: np.ndarray) -> np.ndarray:
+    """Numbers, scrambled one to one, for hashes of n-grams."""
+    x = number.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _key(*words: np.ndarray) -> np.ndarray:
+    """Keys of n-grams of numbered words."""
+    key = _code(words[0])
+    for w in words[1:]:
+        key = mix(key, _code(w))
+    return key
+
+
 def _place(key: np.ndarray, shards: int) -> np.ndarray:
     """A key's place among the shards, as a number with 32 binary places; rises with the key."""
     return (key >> _HALF) * np.uint64(shards)
@@ -126,56 +144,40 @@ def _receive_keys(blobs: list[bytes], n_values: int) -> list[np.ndarray]:
     return list(summed(key, *values)[1:])
 
 
-def _send_grams(kind: str, key: np.ndarray, shards: int, words: np.ndarray, ids: list[np.ndarray], count: np.ndarray) -> list[tuple]:
-    """One row per shard with some of the n-grams: the words used, each n-gram's words as places among them, its count.
-
-    The n-grams must rise by ``ids``, which are places in ``words``; the more frequent words should come first.
-    """
+def _send_grams(kind: str, key: np.ndarray, shards: int, words: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+    """One row per shard with some of the n-grams, which must rise by the numbers of their words, and their values."""
     shard = (_place(key, shards) >> _HALF).astype(np.uint16 if shards < 1 << 16 else np.uint32)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-    local = np.zeros(len(words), np.int64)
     out = []
     for s, (lo, hi) in enumerate(zip(edges, edges[1:])):
         if lo == hi:
             continue
-        own = [c[order[lo:hi]] for c in ids]
-        local[:] = 0
-        for c in own:
-            local[c] = 1
-        used = np.flatnonzero(local)
-        local[used] = np.arange(len(used))
         same, sent = np.ones(hi - lo, bool), []
-        for c in own:
-            c = local[c]
+        for c in words:
+            c = c[order[lo:hi]]
             sent.append(np.where(same, np.diff(c, prepend=0), c))
             same &= np.concatenate([[False], c[1:] == c[:-1]])
-        out.append((kind, s, _pack(words[used], *sent, count[order[lo:hi]])))
+        out.append((kind, s, _pack(*sent, *[v[order[lo:hi]] for v in values])))
     return out
 
 
-def _receive_grams(blobs: list[bytes], n: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Words, the more frequent ones first, the n-grams of all messages as places among them, and counts."""
-    lists, columns, counts, at = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] for _ in range(n)], [np.zeros(0, np.int64)], 0
+def _receive_grams(blobs: list[bytes], n: int, n_values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Numbers of the words and values of the n-grams of all messages, one message after another."""
+    out = [[np.zeros(0, np.int64)] for _ in range(n + n_values)]
     for b in blobs:
-        words, *steps, count = _unpack(b)
-        same = np.ones(len(count), bool)
-        for held, x in zip(columns, steps):
-            runs = np.cumsum(x, dtype=np.int64)
-            begin = np.concatenate([[True], ~same[1:]])
-            since = (runs - x)[begin][np.cumsum(begin) - 1]
-            c = runs - since
-            held.append(c + at)
-            same &= np.concatenate([[False], c[1:] == c[:-1]])
-        lists.append(words.astype(np.uint64))
-        counts.append(count.astype(np.int64))
-        at += len(words)
-    words, place = np.unique(np.concatenate(lists), return_inverse=True)
-    ids = [place[np.concatenate(c)] for c in columns]
-    falling = np.argsort(-np.bincount(ids[-1], minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[falling] = np.arange(len(words))
-    return words[falling], [rank[c] for c in ids], np.concatenate(counts)
+        got = _unpack(b)
+        same = np.ones(len(got[0]), bool)
+        for i, x in enumerate(got):
+            if i < n:
+                runs = np.cumsum(x, dtype=np.int64)
+                begin = ~same
+                begin[0] = True
+                x = runs - (runs - x.astype(np.int64))[begin][np.cumsum(begin) - 1]
+                same &= np.concatenate([[False], x[1:] == x[:-1]])
+            out[i].append(x.astype(np.int64))
+    out = [np.concatenate(x) for x in out]
+    return out[:n], out[n:]
 
 
 # --- files in the shared folder
@@ -241,8 +243,9 @@ def _columns(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _value(arrays: dict[str, np.ndarray], name: str, at: np.ndarray, there: np.ndarray) -> np.ndarray:
     out = np.zeros(len(at), np.int64)
     out[there] = arrays[name][at[there]]
-    large = np.flatnonzero(out == 255)
-    out[large] = arrays[f"{name} is"][np.searchsorted(arrays[f"{name} at"], at[large])]
+    if f"{name} is" in arrays:
+        large = np.flatnonzero(out == 255)
+        out[large] = arrays[f"{name} is"][np.searchsorted(arrays[f"{name} at"], at[large])]
     return out
 
 
@@ -289,20 +292,11 @@ _CONTEXT = ("total", "n1", "n2", "n3")
 
 
 @dataclass
-class Model:
-    """Numbers of the model and where its files are: one per shard and level, None for an empty one."""
+class Files:
+    """One file per shard and level, None for an empty one."""
 
-    order: int
     shards: int
     files: dict[str, list]
-    n_tokens: int
-    n_words: int
-    n_pairs: int
-    #: of triples, pairs, words
-    discounts: tuple[tuple, tuple, tuple]
-    #: How many words stand after 1, 2 and more distinct ones.
-    low_counts: tuple[int, int, int]
-    folder: str
     _maps: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
@@ -326,21 +320,42 @@ class Model:
                 o[lo:hi] = _value(arrays, name, at, there)
         return [o[back] for o in out]
 
+    def numbers(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, training count) of each word hash."""
+        rank, count = self._find("word", h, ("rank", "count"))
+        shard = (_place(h, self.shards) >> _HALF).astype(np.int64)
+        return np.where(count > 0, rank * self.shards + shard + 1, UNKNOWN), count
+
+
+@dataclass
+class Model(Files):
+    """Numbers of the model; its files are those of words, of what follows a word, of pairs and of triples."""
+
+    order: int = 3
+    n_tokens: int = 0
+    n_words: int = 0
+    n_pairs: int = 0
+    #: of triples, pairs, words
+    discounts: tuple = ()
+    #: How many words stand after 1, 2 and more distinct ones.
+    low_counts: tuple = ()
+    folder: str = ""
+
     def probabilities(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(model probability, training count) of each token of texts with ``n`` tokens each."""
         first = np.cumsum(n) - n
-        before = _shifted(h, first, START)
-        count, met = self._find("word", h, ("count", "met"))
+        w, count = self.numbers(h)
+        v = _shifted(w, first, START)
+        (met,) = self._find("follow", _key(w), ("met",))
         e = np.array([0.0, *self.discounts[2]])
         base = max(1, self.n_pairs)
         spare = sum(x * y for x, y in zip(self.discounts[2], self.low_counts)) / base if self.n_pairs else 1.0
         p = np.maximum(met - e[np.minimum(met, 3)], 0) / base + spare / (self.n_words + 1)
-        pair = mix(before, h)
-        c, *context = self._find("pair", pair, ("count", *_CONTEXT))
-        p = interpolated(c, *self._find("word", before, _CONTEXT), self.discounts[1], p)
+        c, *context = self._find("pair", _key(v, w), ("count", *_CONTEXT))
+        p = interpolated(c, *self._find("follow", _key(v), _CONTEXT), self.discounts[1], p)
         if self.order == 3:
             # a token's context is the pair that ends before it
-            (c,) = self._find("triple", mix(_shifted(pair, first, 0), h), ("count",))
+            (c,) = self._find("triple", _key(_shifted(v, first, UNKNOWN), v, w), ("count",))
             p = interpolated(c, *[_shifted(x, first, 0) for x in context], self.discounts[0], p)
         return p, count
 
@@ -363,41 +378,56 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(shard, pa.int32()), pa.array(data, pa.binary())], ["kind", "shard", "data"])
 
 
-def _chunks(parts):
-    """Tokens of the texts and of how many each text has, about CHUNK at a time."""
+def _chunks(parts, most: int):
+    """Tokens of the texts and how many each text has, about ``most`` at a time."""
     held, size = [], 0
     for b in parts:
         if b.num_rows:
             held.append(tokens(b.column(0).to_pylist()))
             size += len(held[-1][0])
-        if size > CHUNK:
+        if size > most:
             yield [np.concatenate(x) for x in zip(*held)]
             held, size = [], 0
     if held:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _count_chunk(h: np.ndarray, n: np.ndarray, order: int, shards: int) -> list[tuple]:
-    words, ids, times = np.unique(h, return_inverse=True, return_counts=True)
-    rows = _send_keys("count", words, shards, [times])
-    falling = np.argsort(-times, kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[falling] = np.arange(len(words))
-    words = np.append(words[falling], START)
+def _count_chunk(files: Files, h: np.ndarray, n: np.ndarray, order: int) -> list[tuple]:
+    """The distinct n-grams of some texts, for their owners."""
+    h, place = np.unique(h, return_inverse=True)
+    number, _ = files.numbers(h)
+    words, back = np.unique(np.append(number, START), return_inverse=True)
     first, k = np.cumsum(n) - n, len(words)
-    w = rank[ids]
-    v = _shifted(w, first, k - 1)
+    w = back[place]
+    v = _shifted(w, first, 0)
     pair, place = np.unique(v * k + w, return_inverse=True)
+    rows = []
     if order == 3:
-        inner = np.ones(len(h), bool)
+        inner = np.ones(len(w), bool)
         inner[first] = False
         triple, c = np.unique(place[inner] * k + _shifted(v, first, 0)[inner], return_counts=True)
-        a, (b, z) = triple % k, np.divmod(pair[triple // k], k)
-        rows += _send_grams("triple", mix(mix(words[a], words[b]), words[z]), shards, words, [b, z, a], c)
+        a, (b, z) = words[triple % k], np.divmod(pair[triple // k], k)
+        b, z = words[b], words[z]
+        rows = _send_grams("triple", _key(a, b, z), files.shards, [b, z, a], [c])
         place = place[first]
     c = np.bincount(place, minlength=len(pair))
     b, z = np.divmod(pair[c > 0], k)
-    return rows + _send_grams("pair", mix(words[b], words[z]), shards, words, [b, z], c[c > 0])
+    b, z, c = words[b], words[z], c[c > 0]
+    return rows + _send_grams("pair", _key(b, z), files.shards, [b, z], [c, *[np.zeros_like(c)] * 4])
+
+
+def _owned(rows: DataFrame, kinds: tuple[str, ...], merge) -> DataFrame:
+    """Merges what the owners get of these kinds; other rows pass."""
+
+    def run(key, t):
+        if not key[0].as_py():
+            return t.select(["kind", "shard", "data"])
+        blobs = {k: [] for k in kinds}
+        for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
+            blobs[k].append(d)
+        return pa.Table.from_batches([_table(merge(key[1].as_py(), *blobs.values()))])
+
+    return rows.groupBy(F.col("kind").isin(*kinds).alias("__own"), "shard").applyInArrow(run, _ROW)
 
 
 def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
@@ -409,81 +439,82 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
     size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(partitions(spark), -(-size // OWNER_BYTES))
     folder = f"{shared_dir(spark)}/colonnade-lm-{uuid.uuid4().hex}"
+    words = Files(shards, {})
 
-    def count(parts):
-        for h, n in _chunks(parts):
-            yield _table(_count_chunk(h, n, order, shards))
-
-    def file(level: str, shard: int, arrays: dict, c: np.ndarray, total: int) -> tuple:
-        facts = [len(c), total, *[int((c == i).sum()) for i in (1, 2, 3, 4)], int((c > 2).sum())]
+    def file(level: str, shard: int, arrays: dict, *facts: int) -> tuple:
         return "file", shard, "\t".join([level, _store(folder, f"{level}-{shard}", arrays), *map(str, facts)]).encode()
 
-    def triples(shard: int, blobs: dict) -> list[tuple]:
-        words, (v, w, u), c = _receive_grams(blobs["triple"], 3)
-        head = mix(words[u], words[v])
-        at, key, c = summed(mix(head, words[w]), c)
-        rows = [file("triple", shard, _hashed(key, shards, {"count": c}), c, 0)]
-        _, head, *context = summed(head[at], *_counts(c))
-        rows += _send_keys("head", head, shards, context)
-        _, tail, met = summed(v[at] << 32 | w[at], np.ones(len(at), np.int64))
-        v, w = tail >> 32, tail & 0xFFFFFFFF
-        return rows + _send_grams("pair", mix(words[v], words[w]), shards, words, [v, w], met)
-
-    def pairs(shard: int, blobs: dict) -> list[tuple]:
-        words, (v, w), c = _receive_grams(blobs["pair"], 2)
-        at, key, c = summed(mix(words[v], words[w]), c)
-        head, *context = _receive_keys(blobs["head"], 4)
-        place = np.searchsorted(key, head)  # a context is a pair of the texts
-        values = {"count": c}
-        for name, x in zip(_CONTEXT, context):
-            values[name] = np.zeros(len(key), np.int64)
-            values[name][place] = x
-        rows = [file("pair", shard, _hashed(key, shards, values), c, 0)]
-        _, before, *context = summed(words[v[at]], *_counts(c))
-        _, after, met = summed(words[w[at]], np.ones(len(at), np.int64))
+    def spread(c: np.ndarray) -> list[int]:
+        return [len(c), *[int((c == i).sum()) for i in (1, 2, 3, 4)], int((c > 2).sum())]
+
+    def count_words(parts):
+        for h, _ in _chunks(parts, WORD_CHUNK):
+            word, times = np.unique(h, return_counts=True)
+            yield _table(_send_keys("count", word, shards, [times]))
+
+    def number(shard: int, blobs: list) -> list[tuple]:
+        word, c = _receive_keys(blobs, 1)
+        rank = np.empty(len(word), "<u4")
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(word))
+        return [file("word", shard, {"word": word, "rank": rank, **_columns({"count": c})}, int(c.sum()), len(word))]
+
+    def count_grams(parts):
+        for h, n in _chunks(parts, CHUNK):
+            yield _table(_count_chunk(words, h, n, order))
+
+    def triples(shard: int, blobs: list) -> list[tuple]:
+        (v, w, u), (c,) = _receive_grams(blobs, 3, 1)
+        at, key, c = summed(_key(u, v, w), c)
+        u, v, w = u[at], v[at], w[at]
+        rows = [file("triple", shard, _hashed(key, shards, {"count": c}), *spread(c))]
+        # pairs get the number of words before them, and the counts of those after them
+        none, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+        a, b = np.concatenate([v, u]), np.concatenate([w, v])
+        at, key, *values = summed(_key(a, b), np.concatenate([one, none]), *[np.concatenate([none, x]) for x in _counts(c)])
+        a, b = a[at], b[at]
+        rise = np.lexsort((b, a))
+        return rows + _send_grams("pair", key[rise], shards, [a[rise], b[rise]], [x[rise] for x in values])
+
+    def pairs(shard: int, blobs: list) -> list[tuple]:
+        (v, w), values = _receive_grams(blobs, 2, 5)
+        at, key, c, *context = summed(_key(v, w), *values)
+        v, w = v[at], w[at]
+        rows = [file("pair", shard, _hashed(key, shards, {"count": c, **dict(zip(_CONTEXT, context))}), *spread(c))]
+        _, before, *context = summed(_key(v), *_counts(c))
+        _, after, met = summed(_key(w), np.ones(len(w), np.int64))
         return rows + _send_keys("context", before, shards, context) + _send_keys("met", after, shards, [met])
 
-    def vocabulary(shard: int, blobs: dict) -> list[tuple]:
-        got = {("count",): _receive_keys(blobs["count"], 1), _CONTEXT: _receive_keys(blobs["context"], 4), ("met",): _receive_keys(blobs["met"], 1)}
-        # the start is a context but no token: it gets an entry with count 0
-        word = np.union1d(got["count",][0], got[_CONTEXT][0])
+    def follow(shard: int, contexts: list, after: list) -> list[tuple]:
+        context, met = _receive_keys(contexts, 4), _receive_keys(after, 1)
+        key = np.union1d(context[0], met[0])
         values = {}
-        for names, (key, *columns) in got.items():
-            for name, x in zip(names, columns):
-                values[name] = np.zeros(len(word), np.int64)
-                values[name][np.searchsorted(word, key)] = x
-        total, known = int(values["count"].sum()), int((values["count"] > 0).sum())
-        kind, shard, data = file("word", shard, {"word": word, **_columns(values)}, values["met"], total)
-        return [(kind, shard, data + f"\t{known}".encode())]
-
-    def owned(rows: DataFrame, kinds: tuple[str, ...], merge) -> DataFrame:
-        """Merges what owners get of these kinds; other rows pass."""
-
-        def run(key, t):
-            if not key[0].as_py():
-                return t.select(["kind", "shard", "data"])
-            blobs = {k: [] for k in kinds}
-            for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
-                blobs[k].append(d)
-            return pa.Table.from_batches([_table(merge(key[1].as_py(), blobs))])
-
-        return rows.groupBy(F.col("kind").isin(*kinds).alias("__own"), "shard").applyInArrow(run, _ROW)
-
-    rows = texts.select(F.col(text).cast("binary")).mapInArrow(count, _ROW)
+        for name, of, x in [("met", met[0], met[1]), *[(name, context[0], x) for name, x in zip(_CONTEXT, context[1:])]]:
+            values[name] = np.zeros(len(key), np.int64)
+            values[name][np.searchsorted(key, of)] = x
+        return [file("follow", shard, _hashed(key, shards, values), *spread(values["met"]))]
+
+    facts = {}
+
+    def collect(rows: DataFrame, levels: dict[str, int]) -> None:
+        """Where the files are, and the sums of their facts: one row per shard and level. What is in no row has no file."""
+        for level, n in levels.items():
+            words.files[level], facts[level] = [None] * shards, np.zeros(n, np.int64)
+        for r in rows.collect():
+            level, path, parts, *numbers = bytes(r["data"]).decode().split("\t")
+            words.files[level][r["shard"]] = (path, parts)
+            facts[level] += np.array([int(x) for x in numbers])
+
+    source = texts.select(F.col(text).cast("binary"))
+    collect(_owned(source.mapInArrow(count_words, _ROW), ("count",), number), {"word": 2})
+    grams = source.mapInArrow(count_grams, _ROW)
     if order == 3:
-        rows = owned(rows, ("triple",), triples)
-    rows = owned(owned(rows, ("pair", "head"), pairs), ("count", "context", "met"), vocabulary)
-
-    files = {level: [None] * shards for level in ("triple", "pair", "word")}
-    facts = {level: np.zeros(8, np.int64) for level in files}
-    for r in rows.collect():  # one row per shard and level
-        level, path, parts, *numbers = bytes(r["data"]).decode().split("\t")
-        # a shard without keys has a file without entries
-        files[level][r["shard"]] = (path, parts) if numbers[0] != "0" or level == "word" else None
-        facts[level][: len(numbers)] += np.array([int(x) for x in numbers])
-    d = tuple(discounts(facts[level][2:6].tolist()) for level in files)
-    low = facts["word"]
-    return Model(order, shards, files, int(low[1]), int(low[7]), int(facts["pair"][0]), d, (int(low[2]), int(low[3]), int(low[6])), folder)
+        grams = _owned(grams, ("triple",), triples)
+    grams = _owned(_owned(grams, ("pair",), pairs), ("context", "met"), follow)
+    collect(grams, {"triple": 6, "pair": 6, "follow": 6})
+    n_tokens, n_words = facts["word"].tolist()
+    d = tuple(discounts(facts[level][1:5].tolist()) for level in ("triple", "pair", "follow"))
+    low = facts["follow"]
+    return Model(shards, words.files, order=order, n_tokens=n_tokens, n_words=n_words, n_pairs=int(facts["pair"][0]), discounts=d, low_counts=(int(low[1]), int(low[2]), int(low[5])), folder=folder)
 
 
 def drop(spark, model: Model) -> None:
