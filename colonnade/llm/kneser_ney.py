@@ -39,7 +39,7 @@ END = np.uint64(xxhash.xxh64_intdigest(b"end", 1))
 #: Numbers of words begin at 1; the start of a text, and any word that the model does not have.
 START, UNKNOWN = 0, 1 << 62
 #: Tokens whose counts are summed before they are sent: as words, as n-grams.
-WORD_CHUNK, CHUNK = 4_000_000, 2_000_000
+WORD_CHUNK, CHUNK = 2_000_000, 1_500_000
 #: Owners are as many as shuffle partitions, or one for so many bytes of text.
 OWNER_BYTES = 24 << 20
 _HALF = np.uint64(32)
@@ -68,8 +68,8 @@ def _shifted(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order and the sums of the values of each, after the place of a first one."""
-    order = np.argsort(key, kind="stable")
+    """Distinct keys in order and the sums of the values of each, after a place of each."""
+    order = np.argsort(key)
     k = key[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return order[first], k[first], *[np.add.reduceat(v[order], first) if len(k) else v for v in values]
@@ -96,6 +96,17 @@ def _key(*words: np.ndarray) -> np.ndarray:
     return key
 
 
+def _by_pair(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of numbers in order and the sums of the values of each."""
+    if len(a) and max(a.max(), b.max()) >= 1 << 31:
+        order = np.lexsort((b, a))
+    else:
+        order = np.argsort(a << 32 | b)
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], *[np.add.reduceat(v[order], first) if len(a) else v for v in values]
+
+
 def _place(key: np.ndarray, shards: int) -> np.ndarray:
     """A key's place among the shards, as a number with 32 binary places; rises with the key."""
     return (key >> _HALF) * np.uint64(shards)
@@ -253,7 +264,7 @@ def _hashed(key: np.ndarray, shards: int, values: dict[str, np.ndarray]) -> dict
     """Arrays for the sorted keys of one shard: where buckets begin, the lower halves of the keys in each, the values."""
     bits = (len(key) >> 4).bit_length()
     bucket = _bucket(key, shards, bits)
-    order = np.argsort(bucket << _HALF | key & _LOW, kind="stable")
+    order = np.argsort(bucket << _HALF | key & _LOW)
     begins = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4")
     return {"begins": begins, "half": (key[order] & _LOW).astype("<u4"), **_columns({k: v[order] for k, v in values.items()})}
 
@@ -344,20 +355,23 @@ class Model(Files):
     def probabilities(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(model probability, training count) of each token of texts with ``n`` tokens each."""
         first = np.cumsum(n) - n
-        w, count = self.numbers(h)
-        v = _shifted(w, first, START)
-        (met,) = self._find("follow", _key(w), ("met",))
+        word, w = np.unique(h, return_inverse=True)
+        number, count = self.numbers(word)
+        code = _code(np.append(number, START))
+        met, *context = self._find("follow", code, ("met", *_CONTEXT))
+        v = _shifted(w, first, len(word))
         e = np.array([0.0, *self.discounts[2]])
         base = max(1, self.n_pairs)
         spare = sum(x * y for x, y in zip(self.discounts[2], self.low_counts)) / base if self.n_pairs else 1.0
         p = np.maximum(met - e[np.minimum(met, 3)], 0) / base + spare / (self.n_words + 1)
-        c, *context = self._find("pair", _key(v, w), ("count", *_CONTEXT))
-        p = interpolated(c, *self._find("follow", _key(v), _CONTEXT), self.discounts[1], p)
+        pair = mix(code[v], code[w])
+        c, *after = self._find("pair", pair, ("count", *_CONTEXT))
+        p = interpolated(c, *[x[v] for x in context], self.discounts[1], p[w])
         if self.order == 3:
-            # a token's context is the pair that ends before it
-            (c,) = self._find("triple", _key(_shifted(v, first, UNKNOWN), v, w), ("count",))
-            p = interpolated(c, *[_shifted(x, first, 0) for x in context], self.discounts[0], p)
-        return p, count
+            # a token's context is the pair that ends before it; the first has none
+            (c,) = self._find("triple", mix(_shifted(pair, first, 0), code[w]), ("count",))
+            p = interpolated(c, *[_shifted(x, first, 0) for x in after], self.discounts[0], p)
+        return p, count[w]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -397,7 +411,7 @@ def _count_chunk(files: Files, h: np.ndarray, n: np.ndarray, order: int) -> list
     h, place = np.unique(h, return_inverse=True)
     number, _ = files.numbers(h)
     words, back = np.unique(np.append(number, START), return_inverse=True)
-    first, k = np.cumsum(n) - n, len(words)
+    first, k, code = np.cumsum(n) - n, len(words), _code(words)
     w = back[place]
     v = _shifted(w, first, 0)
     pair, place = np.unique(v * k + w, return_inverse=True)
@@ -406,28 +420,24 @@ def _count_chunk(files: Files, h: np.ndarray, n: np.ndarray, order: int) -> list
         inner = np.ones(len(w), bool)
         inner[first] = False
         triple, c = np.unique(place[inner] * k + _shifted(v, first, 0)[inner], return_counts=True)
-        a, (b, z) = words[triple % k], np.divmod(pair[triple // k], k)
-        b, z = words[b], words[z]
-        rows = _send_grams("triple", _key(a, b, z), files.shards, [b, z, a], [c])
+        a, (b, z) = triple % k, np.divmod(pair[triple // k], k)
+        rows = _send_grams("triple", mix(mix(code[a], code[b]), code[z]), files.shards, [words[b], words[z], words[a]], [c])
         place = place[first]
     c = np.bincount(place, minlength=len(pair))
     b, z = np.divmod(pair[c > 0], k)
-    b, z, c = words[b], words[z], c[c > 0]
-    return rows + _send_grams("pair", _key(b, z), files.shards, [b, z], [c, *[np.zeros_like(c)] * 4])
+    c = c[c > 0]
+    return rows + _send_grams("pair", mix(code[b], code[z]), files.shards, [words[b], words[z]], [c, *[np.zeros_like(c)] * 4])
 
 
-def _owned(rows: DataFrame, kinds: tuple[str, ...], merge) -> DataFrame:
-    """Merges what the owners get of these kinds; other rows pass."""
+def _owned(rows: DataFrame, kind: str, merge) -> DataFrame:
+    """Merges what the owners get of this kind; other rows pass."""
 
     def run(key, t):
         if not key[0].as_py():
             return t.select(["kind", "shard", "data"])
-        blobs = {k: [] for k in kinds}
-        for k, d in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
-            blobs[k].append(d)
-        return pa.Table.from_batches([_table(merge(key[1].as_py(), *blobs.values()))])
+        return pa.Table.from_batches([_table(merge(key[1].as_py(), t["data"].to_pylist()))])
 
-    return rows.groupBy(F.col("kind").isin(*kinds).alias("__own"), "shard").applyInArrow(run, _ROW)
+    return rows.groupBy((F.col("kind") == kind).alias("__own"), "shard").applyInArrow(run, _ROW)
 
 
 def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
@@ -469,29 +479,23 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
         rows = [file("triple", shard, _hashed(key, shards, {"count": c}), *spread(c))]
         # pairs get the number of words before them, and the counts of those after them
         none, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
-        a, b = np.concatenate([v, u]), np.concatenate([w, v])
-        at, key, *values = summed(_key(a, b), np.concatenate([one, none]), *[np.concatenate([none, x]) for x in _counts(c)])
-        a, b = a[at], b[at]
-        rise = np.lexsort((b, a))
-        return rows + _send_grams("pair", key[rise], shards, [a[rise], b[rise]], [x[rise] for x in values])
+        a, b, *values = _by_pair(np.concatenate([v, u]), np.concatenate([w, v]), np.concatenate([one, none]), *[np.concatenate([none, x]) for x in _counts(c)])
+        return rows + _send_grams("pair", _key(a, b), shards, [a, b], values)
 
     def pairs(shard: int, blobs: list) -> list[tuple]:
         (v, w), values = _receive_grams(blobs, 2, 5)
         at, key, c, *context = summed(_key(v, w), *values)
         v, w = v[at], w[at]
         rows = [file("pair", shard, _hashed(key, shards, {"count": c, **dict(zip(_CONTEXT, context))}), *spread(c))]
-        _, before, *context = summed(_key(v), *_counts(c))
-        _, after, met = summed(_key(w), np.ones(len(w), np.int64))
-        return rows + _send_keys("context", before, shards, context) + _send_keys("met", after, shards, [met])
-
-    def follow(shard: int, contexts: list, after: list) -> list[tuple]:
-        context, met = _receive_keys(contexts, 4), _receive_keys(after, 1)
-        key = np.union1d(context[0], met[0])
-        values = {}
-        for name, of, x in [("met", met[0], met[1]), *[(name, context[0], x) for name, x in zip(_CONTEXT, context[1:])]]:
-            values[name] = np.zeros(len(key), np.int64)
-            values[name][np.searchsorted(key, of)] = x
-        return [file("follow", shard, _hashed(key, shards, values), *spread(values["met"]))]
+        # and words the number of words before them, and the counts of those after them
+        none, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+        _, word, *values = summed(np.concatenate([w, v]), np.concatenate([one, none]), *[np.concatenate([none, x]) for x in _counts(c)])
+        return rows + _send_grams("follow", _key(word), shards, [word], values)
+
+    def follow(shard: int, blobs: list) -> list[tuple]:
+        (word,), values = _receive_grams(blobs, 1, 5)
+        _, key, met, *context = summed(_key(word), *values)
+        return [file("follow", shard, _hashed(key, shards, {"met": met, **dict(zip(_CONTEXT, context))}), *spread(met))]
 
     facts = {}
 
@@ -505,11 +509,11 @@ def train(texts: DataFrame, text: str = "text", order: int = 3) -> Model:
             facts[level] += np.array([int(x) for x in numbers])
 
     source = texts.select(F.col(text).cast("binary"))
-    collect(_owned(source.mapInArrow(count_words, _ROW), ("count",), number), {"word": 2})
+    collect(_owned(source.mapInArrow(count_words, _ROW), "count", number), {"word": 2})
     grams = source.mapInArrow(count_grams, _ROW)
     if order == 3:
-        grams = _owned(grams, ("triple",), triples)
-    grams = _owned(_owned(grams, ("pair",), pairs), ("context", "met"), follow)
+        grams = _owned(grams, "triple", triples)
+    grams = _owned(_owned(grams, "pair", pairs), "follow", follow)
     collect(grams, {"triple": 6, "pair": 6, "follow": 6})
     n_tokens, n_words = facts["word"].tolist()
     d = tuple(discounts(facts[level][1:5].tolist()) for level in ("triple", "pair", "follow"))
