@@ -11,9 +11,9 @@ differences, byte planes and zstd.
 As is usual, a pair's count below order 3 is the number of distinct words before it, but pairs that begin a text keep
 their own counts; the first word of a text is predicted from the start alone.
 
-An owner's file holds, sorted within buckets of 8 to 16 keys by the upper bits, the lower 32 bits of each key. So a
-look-up takes an absent n-gram for one that is there with a probability of 16 in 2**32 at any size of the corpus. Words
-are told apart by all 64 bits.
+An owner's file holds, sorted within buckets of some 8 to 16 keys by the upper bits, the lower 32 bits of each key. So a
+look-up takes an absent n-gram for one that is there with a probability of about 16 in 2**32 at any size of the corpus.
+Words are told apart by all 64 bits.
 """
 
 from __future__ import annotations
