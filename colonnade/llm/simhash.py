@@ -4,7 +4,9 @@ A fingerprint is cut into segments. Two fingerprints that differ in at most r bi
 of one of m segments, so each fingerprint looks up the small Hamming ball around each of its segments in a table
 of segments, and the complete distance of what it finds is verified.
 
-Near copies by the similarity of their shingle sets are found without fingerprints, by prefixes of the sets.
+Near copies by the similarity of their shingle sets are looked up so by long fingerprints of the sets, and what is
+near is compared by its shingles. Pairs that look-ups miss, as they do near the least similarity, are found by prefixes
+of the sets, among what isn't linked already.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Spool, components, cut, keyed, small, tune
+from .substring import mix
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
@@ -31,6 +34,11 @@ DENSE = 200
 COMMON = 200_000
 #: Rounds in which documents are compared with the best linked one of a shingle before all that is left is compared.
 HUBS = 1
+#: Segments looked up before the first and the second time that links are made; the others pass over what these linked.
+ROUNDS = (2, 8)
+#: Fingerprints that one owner of segments has, on average, and nodes that a task sends at once.
+OWNED = 1 << 18
+SENT = 1 << 15
 
 
 def shingles(text: bytes | None, size: int) -> list[bytes]:
@@ -130,8 +138,9 @@ def plan(n_docs: int, similarity: float, recall: float = 0.99) -> tuple[int, int
     over pi. Segments have six bits more than number the documents, 30 at least, so a look-up finds few strangers at any
     size; there are as many as find a pair halfway between the least similarity and 1 with the probability ``recall``
     when one bit of a segment may differ. Distances from two standard deviations below the one that the least
-    similarity makes likely to three above it are in doubt. ``near_duplicate_classes`` doesn't use it: below that halfway
-    point such look-ups miss pairs.
+    similarity makes likely to three above it are in doubt. Below that halfway point such look-ups miss pairs, and
+    distances say too little of short sets: ``near_duplicate_classes`` takes no pair by its distance, and finds those
+    missed by other means.
     """
     width = min(48, max(30, max(1, n_docs).bit_length() + 6))
     p = _differ((1 + similarity) / 2)
@@ -148,6 +157,129 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found), np.uint64, len(found)))
 
 
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 times ``words`` bits; each 64 count another mix of the hashes. No hashes: all 0."""
+    salts = np.arange(1, words + 1, dtype=np.uint64)[:, None]
+    place = (np.arange(words * 8) * 256).reshape(words, 1, 8)
+    seen = np.zeros(words * 8 * 256, np.int64)
+    for i in range(0, len(hashes), 4096):
+        byte = mix(hashes[None, i : i + 4096], salts).astype("<u8").view(np.uint8).reshape(words, -1, 8)
+        seen += np.bincount((byte + place).ravel(), minlength=len(seen))
+    counts = seen.reshape(words * 8, 256).astype(np.float64) @ _BITS.astype(np.float64)
+    return np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view("<i8")
+
+
+def segment_values(fingerprints: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """The segments of each row of signed words, as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(fingerprints, "<i8").view(np.uint8), axis=1, count=segments * width, bitorder="little")
+    return (bits.reshape(-1, segments, width) @ np.exp2(np.arange(width))).astype(np.int64)
+
+
+def best_in_balls(value: np.ndarray, node: np.ndarray, part: np.ndarray, links: np.ndarray, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): for each entry a that has one, the best entry b whose value is its own under one of the masks.
+
+    Best is the one with most links, then the least; b is better than a and of another part. So an entry is in one pair
+    at most as a, however many have its value, and of two that meet nobody else one finds the other.
+    """
+    order = np.lexsort((node, -links))
+    value, node, part = value[order], node[order], part[order]  # an entry's place is its rank
+    by_value = np.argsort(value, kind="stable")
+    distinct, start, group = np.unique(value[by_value], return_index=True, return_inverse=True)
+    first = by_value[start]
+    none = len(value)
+    other = np.flatnonzero(part[by_value] != part[first][group])[::-1]
+    second = np.full(len(distinct), none)
+    second[group[other]] = by_value[other]  # the last one written is the best
+    entry_group = np.empty(none, np.int64)
+    entry_group[by_value] = group
+    best = np.full(none, none)
+    for m in masks:
+        sought = distinct ^ m
+        at = np.minimum(np.searchsorted(distinct, sought), len(distinct) - 1)
+        hit = np.flatnonzero((distinct[at] == sought)[entry_group])
+        there = at[entry_group[hit]]
+        found = np.where(part[first[there]] != part[hit], first[there], second[there])
+        best[hit] = np.minimum(best[hit], found)
+    a = np.flatnonzero(best < np.arange(none))
+    return node[a], node[best[a]]
+
+
+def ball_hits(nodes: DataFrame, shape: tuple[int, int], looked_up: range, owners: int) -> DataFrame:
+    """(a, b) of nodes (id, w, part, links) whose fingerprints share one of those segments but for one bit; of each ball the best.
+
+    Two segments that differ in one bit have their lower or their upper half in common. A segment is sent to two owners,
+    by either half, and each looks up the part of the ball that leaves its half as it is. What moves grows with the
+    nodes, not with the look-ups.
+    """
+    segments, width = shape
+    low = width // 2
+    fields = "value binary, node binary, part binary, links binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def messages() -> Iterator[pa.RecordBatch]:
+            values, *rest = (np.concatenate(x) for x in zip(*held))
+            for s in looked_up:
+                for half, same in enumerate((values[:, s] & ((1 << low) - 1), values[:, s] >> low)):
+                    owner = (mix(same.astype(np.uint64), np.uint64(half)) % np.uint64(owners)).astype(np.int64)
+                    order = np.argsort(owner, kind="stable")
+                    ends = np.searchsorted(owner[order], np.arange(owners + 1))
+                    some = np.flatnonzero(np.diff(ends))
+                    columns = [[x[order[ends[o] : ends[o + 1]]].tobytes() for o in some] for x in (values[:, s], *rest)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((s * 2 + half) * owners + some, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["owner", "value", "node", "part", "links"]
+                    )
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+            held.append((segment_values(words, segments, width), *(b.column(i).to_numpy() for i in (0, 2, 3))))
+            n += b.num_rows
+            if n >= SENT:
+                yield from messages()
+                held, n = [], 0
+        if held:
+            yield from messages()
+
+    def answer(key: tuple, sent: pa.Table) -> pa.Table:
+        half = key[0].as_py() // owners % 2
+        masks = [0, *(1 << i for i in range(low, width))] if half == 0 else [1 << i for i in range(low)]
+        arrays = (np.frombuffer(b"".join(sent[c].to_pylist()), np.int64) for c in ("value", "node", "part", "links"))
+        return pa.table(dict(zip("ab", best_in_balls(*arrays, masks))))
+
+    sent = nodes.select("id", "w", "part", "links").mapInArrow(send, f"owner long, {fields}")
+    return sent.groupBy("owner").applyInArrow(answer, "a long, b long").distinct()
+
+
+def fingerprint_links(rows: DataFrame, nodes: DataFrame, key: str, text: str, size: int, similarity: float, shape: tuple[int, int], farthest: int) -> DataFrame:
+    """(a, b) of nodes (id, w) that are similar by their shingles, found by multi-index hashing of their fingerprints w.
+
+    The segments are looked up in three rounds. In each, the complete distance of what is found is taken, each node is
+    compared by its shingles with the nearest that it found, if within ``farthest`` bits, and later look-ups pass over
+    what is in one component then. So a large group of near copies is never expanded into pairs.
+    """
+    owners = -(-nodes.count() // OWNED)
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    if not owners:
+        return links
+    rounds = [0, *(r for r in ROUNDS if r < shape[0]), shape[0]]
+    for since, to in zip(rounds, rounds[1:]):
+        if since:
+            placed = nodes.join(small(_standing(links), 32), F.col("id") == F.col("node"), "left")
+            placed = placed.select("id", "w", F.coalesce("component", "id").alias("part"), F.coalesce("links", F.lit(0)).alias("links"))
+        else:
+            placed = nodes.select("id", "w", F.col("id").alias("part"), F.lit(0).cast("long").alias("links"))
+        hits = cut(ball_hits(placed, shape, range(since, to), owners))
+        x, y = nodes.selectExpr("id as a", "w as x"), nodes.selectExpr("id as b", "w as y")
+        distance = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)")
+        near = x.join(small(hits, 16), "a").join(y, "b").select("a", "b", distance.alias("d")).filter(F.col("d") <= farthest)
+        near = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("c")).select("a", "c.b")
+        links = cut(links.unionByName(_similar(rows, key, text, near, size, similarity)))
+    return links
+
+
 def common_shingles(rows: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, documents counted) of shingles of many documents, ascending; counted where a chunk of a partition has three or more."""
 
@@ -217,11 +349,16 @@ def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
     return found
 
 
-def _parted(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, Spool]:
-    """The entries (value, id, n, pos) with the component and the number of links of each id; drop the spool when they have been read."""
+def _standing(links: DataFrame) -> DataFrame:
+    """(node, component, links) of each node with links: its component and how many links it has."""
     part = components(links).selectExpr("node", "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    known = cut(part.join(degree, "node"))
+    return cut(part.join(degree, "node"))
+
+
+def _parted(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, Spool]:
+    """The entries (value, id, n, pos) with the component and the number of links of each id; drop the spool when they have been read."""
+    known = _standing(links)
     out = entries.join(small(known, 32), F.col("id") == F.col("node"), "left")
     spool = Spool(out.select("value", "id", "n", "pos", F.coalesce("component", "id").alias("part"), F.coalesce(known["links"], F.lit(0)).alias("links")), "parts")
     return spool.read(), spool
@@ -230,15 +367,19 @@ def _parted(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, Spool]:
 def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, keep) of each row: ``keep`` is the least key among all rows that links lead to, its own if there are none.
 
-    Links are exactly the pairs whose distinct shingles have that Jaccard similarity. Of each set only a prefix in one
-    order of all shingles is looked up: similar sets share a shingle of their prefixes, and the first that they share
-    leaves room for the overlap that they need. Every pair found so is compared by its shingles. Equal sets are one
-    node. Nodes are first linked to the least of those with a shingle of the prefix, then to the one of those that has
-    most links; look-ups then pass over what is in one component already, so a large group of near copies isn't expanded
-    into pairs, and no link between components is lost.
+    Links are exactly the pairs whose distinct shingles have that Jaccard similarity. Equal sets are one node. Nodes are
+    first linked by multi-index hashing of their fingerprints, see ``fingerprint_links``. By ``plan`` that finds a pair
+    with the probability 0.99 halfway between the least similarity and 1, but 0.7 at 0.8. What it misses is found for
+    sure: of each set a prefix in one order of all shingles is looked up; similar sets share a shingle of their
+    prefixes, and the first that they share leaves room for the overlap that they need. Every pair found so, whose ends
+    aren't in one component already, is compared by its shingles: first each node with the least of those with a
+    shingle, then with the one of them that has most links, then all that is left. So a large group of near copies isn't expanded into pairs, and no link between
+    components is lost.
     """
     tune(rows.sparkSession)
     rows = rows.select(key, F.col(text).cast("binary").alias(text))
+    segments, width, _, farthest = plan(rows.count(), similarity)
+    words = -(-segments * width // 64)
     listed = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, text, size))  # 16 bytes for each of COMMON
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +388,18 @@ def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "tex
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
             n = pa.array([len(x) for x in found], pa.int32())
             first = pa.array([prefix(x, *listed.value, similarity).view(np.int64) if len(x) else [] for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, n, first], ["key", "s", "n", "first"])
+            w = pa.array([long_fingerprint(x, words) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, n, first, w], ["key", "s", "n", "first", "w"])
 
-    kept = Spool(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>"), "prefixes")
+    kept = Spool(rows.mapInArrow(batches, "key long, s binary, n int, first array<long>, w array<long>"), "prefixes")
     prints = kept.read()
     nodes = cut(prints.groupBy("s").agg(F.min("key").alias("id")))
-    entries = prints.join(small(nodes.select(F.col("id").alias("key")), 8), "key", "left_semi").select(F.col("key").alias("id"), "n", F.posexplode("first").alias("pos", "value"))
+    single = prints.join(small(nodes.select(F.col("id").alias("key")), 8), "key", "left_semi").withColumnRenamed("key", "id")
+    held = Spool(single.filter("n > 0").select("id", "w"), "fingerprints")
+    links = fingerprint_links(rows, held.read(), key, text, size, similarity, (segments, width), farthest)
+    held.drop()
+
+    entries = single.select("id", "n", F.posexplode("first").alias("pos", "value"))
     # entries move once; most shingles stand in one set only
     bucket = Window.partitionBy("value")
     entries = entries.withColumn("c", F.min(F.struct("id", "n", "pos")).over(bucket)).withColumn("count", F.count("*").over(bucket))
@@ -261,7 +408,11 @@ def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "tex
     # what may follow the first common shingle suffices for the overlap of similar sets
     fits = f"least(n - pos, m - place) + 1e-9 >= {similarity / (1 + similarity)!r}D * (n + m)"
 
-    links = _similar(rows, key, text, entries.filter(f"id <> b and {fits}").selectExpr("id as a", "b"), size, similarity)
+    part, pairs = _standing(links), cut(entries.filter(f"id <> b and {fits}").selectExpr("id as a", "b").distinct())
+    for end in "ab":
+        pairs = pairs.join(small(part.selectExpr(f"node as {end}", f"component as of_{end}"), 16), end, "left")
+    pairs = pairs.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    links = cut(links.unionByName(_similar(rows, key, text, pairs, size, similarity)))
     # copies of one text may each be too far from the least of them, but near the text itself: the one with most links
     for _ in range(HUBS):
         parted, drop = _parted(entries, links)

@@ -146,6 +146,57 @@ def test_repeats_of_a_line_do_not_hide_near_duplicates(spark):
     assert simhash.without_near_duplicates(df).count() == 20
 
 
+def test_near_duplicates_are_found_by_their_fingerprints(spark, monkeypatch):
+    """Multi-index hashing links nearly all pairs of similarity 0.9 or more, half of those above 0.8, none below, and the stage takes its links."""
+    import random
+
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts, pairs = [], []
+    for g in range(240):
+        base = r.choices(words, k=r.randint(60, 300))
+        edited, least = list(base), (0.9, 0.8, 0.6)[g % 3]
+        while jaccard(" ".join(base), " ".join(edited)) > least + 0.05:
+            edited[r.randrange(len(base))] = "changed"
+        pairs.append((len(texts), jaccard(" ".join(base), " ".join(edited))))
+        texts += [" ".join(base), " ".join(edited)]
+    real, seen = simhash.fingerprint_links, []
+
+    def watched(*args):
+        links = real(*args)
+        seen.extend((x.a, x.b) for x in links.collect())
+        return links
+
+    monkeypatch.setattr(simhash, "fingerprint_links", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)  # keys are places then
+    assert simhash.without_near_duplicates(df).count() == len(texts) - sum(j >= 0.8 for _, j in pairs)
+    linked = {min(x) for x in seen}
+    assert linked <= {i for i, j in pairs if j >= 0.8} and {max(x) for x in seen} == {i + 1 for i in linked}
+    close, far = ([i in linked for i, j in pairs if low <= j < high] for low, high in ((0.9, 1), (0.8, 0.9)))
+    assert len(close) > 60 and sum(close) >= 0.95 * len(close) and len(far) > 60 and sum(far) >= 0.5 * len(far)
+
+
+def test_look_ups_of_segments(spark):
+    """However many owners there are, each node meets the best of another part that shares a segment but for one bit."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n, segments, width = 300, 3, 30
+    base = r.integers(0, 2, (40, segments * width))
+    bits = base[r.integers(0, 40, n)] ^ (r.random((n, segments * width)) < 0.05)
+    packed = np.packbits(np.pad(bits.astype(np.uint8), ((0, 0), (0, 128 - segments * width))), axis=1, bitorder="little").view("<i8")
+    part, links = r.integers(0, 60, n), r.integers(0, 3, n)
+    near = [[bool(((bits[a] ^ bits[b]).reshape(segments, width).sum(1)[1:] <= 1).any()) for b in range(n)] for a in range(n)]
+    better = lambda a, b: (-links[b], b) < (-links[a], a) and part[a] != part[b]
+    nodes = spark.createDataFrame([(i, packed[i].tolist(), int(part[i]), int(links[i])) for i in range(n)], "id long, w array<long>, part long, links long").repartition(3)
+    for owners in (1, 7):
+        got = {(x.a, x.b) for x in simhash.ball_hits(nodes, (segments, width), range(1, segments), owners).collect()}
+        assert all(near[a][b] and better(a, b) for a, b in got)
+        for a in range(n):
+            if some := [b for b in range(n) if near[a][b] and better(a, b)]:
+                assert (a, min(some, key=lambda b: (-links[b], b))) in got
+
+
 def test_plan_of_the_fingerprint():
     segments, width, sure, doubtful = simhash.plan(250_000, 0.8)
     assert width == 30 and 16 <= segments <= 32 and 0.1 < sure / (segments * width) < 0.15 < doubtful / (segments * width) < 0.22
