@@ -7,7 +7,9 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ BROADCAST_ROWS = 200_000
 #: Bytes that a broadcast side may have, by its count and the width given for a row.
 BROADCAST_BYTES = 16 << 20
 
+#: Edges whose components one task finds at once; more are contracted in rounds. Changes costs only, no result.
+FEW_EDGES = 250_000
+
 #: A row's key is the rank of its file above so many bits of its place in it, as in Spark's own increasing ids.
 PLACE_BITS = 33
 
@@ -53,6 +58,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Frames made within lose their shuffle files as soon as an action on them ends, not when the driver collects garbage.
+
+    Each task of a shuffle leaves three files, so many steps over few rows fill a disk by their number. Only for frames
+    that are written or counted within: what is read later computes its shuffles anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def small(df: DataFrame, row_bytes: int = 40) -> DataFrame:
     """With a broadcast hint if it is counted to have at most BROADCAST_BYTES at that width of a row; for tables that are already written."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
@@ -135,11 +159,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of each node of the undirected edges (a, b): the component is its smallest node.
+def components_at_once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of each node of the undirected edges that isn't the smallest of its component."""
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(node)))  # nodes ascend, so the least of a component is its root
 
-    Alternates large-star and small-star steps; each is a grouped minimum and a join, and the edge table is
-    cut after each round. Ends when a round changes nothing.
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    least = node[np.fromiter((root(x) for x in range(len(node))), np.int64, len(node))]
+    return node[node != least], least[node != least]
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = 0) -> DataFrame:
+    """(node, component) of each node of the undirected edges (a, b) but the smallest of a component, which is the component.
+
+    Up to ``few`` distinct edges of long nodes are gathered in one task. For more it alternates large-star and small-star
+    steps; each is a grouped minimum and a join, and the edge table is cut after each round. Ends when a round changes nothing.
 
     Each node points at a smaller one at the end, so no step gathers a node's neighbours into one task: the
     minimum is pre-aggregated and the join may be split.
@@ -147,7 +188,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def settled(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def at_once(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(parts, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        found = components_at_once(held["a"].to_numpy(), held["b"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "component"])
+
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if few and edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(at_once, "node long, component long")
     last = settled(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Spool, components, cut, keyed, small, tune
+from .common import FEW_EDGES, Spool, components, cut, keyed, released, small, tune
 from .substring import mix
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -351,7 +351,7 @@ def _similar(rows: DataFrame, key: str, text: str, pairs: DataFrame, size: int,
 
 def _standing(links: DataFrame) -> DataFrame:
     """(node, component, links) of each node with links: its component and how many links it has."""
-    part = components(links).selectExpr("node", "component")
+    part = components(links, few=FEW_EDGES).selectExpr("node", "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     return cut(part.join(degree, "node"))
 
@@ -428,7 +428,7 @@ def near_duplicate_classes(rows: DataFrame, key: str = "__row", text: str = "tex
     probes = entries.selectExpr("value", "id as a", "n as m", "pos as place", "part as part_a")
     others = probes.join(entries.select("value", "part").distinct(), "value").filter("part < part_a").drop("part_a")
     pairs = others.join(entries, ["value", "part"]).filter(fits).selectExpr("least(a, id) as a", "greatest(a, id) as b")
-    found = components(links.unionByName(_similar(rows, key, text, pairs, size, similarity)))
+    found = components(links.unionByName(_similar(rows, key, text, pairs, size, similarity)), few=FEW_EDGES)
     parts.drop()
     # all rows of a node are copies of its least row
     out = prints.select("key", "s").join(nodes.select("s", "id"), "s").join(found, F.col("id") == F.col("node"), "left")
@@ -445,8 +445,9 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: float =
     """
     names = docs.columns
     rows = keyed(docs, *[f"`{c}`" for c in names])
-    classes = near_duplicate_classes(rows, size=size, similarity=similarity)
-    gone = cut(classes.filter("__row <> keep").select("__row"))
+    with released(docs.sparkSession):
+        classes = near_duplicate_classes(rows, size=size, similarity=similarity)
+        gone = cut(classes.filter("__row <> keep").select("__row"))
     return rows.join(small(gone, 8), "__row", "left_anti").select([f"`{c}`" for c in names])
 
 

@@ -187,6 +187,18 @@ def test_hamming_links(spark, radius, segments):
         assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= radius}
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(8)
+    pairs = [*rng.integers(0, 400, (260, 2)).tolist(), *([i, i + 1] for i in range(1000, 1060)), *([2**40, -i] for i in range(30)), [7, 7], [5000, 5000]]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    known = {frozenset(p) for p in pairs}
+    found = classes({x for p in pairs for x in p}, lambda a, b: frozenset((a, b)) in known)
+    expected = sorted(((x, c) for x, c in found.items() if x != c), key=repr)
+    for few in (0, len(pairs)):
+        assert rows_of(common.components(edges, few=few), "node", "component") == expected
+        assert common.components(edges.limit(0), few=few).count() == 0
+
+
 def test_a_crowded_segment_stays_linear(spark):
     """Many distinct fingerprints with one half in common: few comparisons, all links."""
     rng = np.random.default_rng(4)

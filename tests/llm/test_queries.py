@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -176,6 +177,28 @@ def test_near_duplicates_are_found_by_their_fingerprints(spark, monkeypatch):
     assert len(close) > 60 and sum(close) >= 0.95 * len(close) and len(far) > 60 and sum(far) >= 0.5 * len(far)
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """The files of each step go when it is done: the number of steps times that of tasks filled the disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = disk.getAllFiles().mkString("\n").split("\n")
+        return {x for x in found if re.search(r"/shuffle_\d+_", x)}
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + f" end{k}" for i in range(20) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    set_before, before = spark.conf.get(key, None), shuffled()
+    out = simhash.without_near_duplicates(df)
+    for _ in range(40):  # executors delete in their own time
+        if len(left := shuffled() - before) <= 60:
+            break
+        time.sleep(0.25)
+    assert len(left) <= 60
+    assert spark.conf.get(key, None) == set_before
+    assert out.count() == 20 and out.count() == 20
+
+
 def test_look_ups_of_segments(spark):
     """However many owners there are, each node meets the best of another part that shares a segment but for one bit."""
     import numpy as np
