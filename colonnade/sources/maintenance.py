@@ -51,7 +51,7 @@ def _optimal(table: Table, segments: list[Segment]) -> bool:
     count, groups, rows, _ = _totals(segments)
     size = table.config.row_group_size
     per_segment = size * table.config.compaction_row_group_threshold
-    return count <= max(1, -(-rows // per_segment)) and groups <= -(-rows // size) and not any(s.underfilled for s in segments)
+    return count == max(1, -(-rows // per_segment)) and groups <= -(-rows // size) and not any(s.underfilled for s in segments)
 
 
 def optimize(table: Table) -> CompactionReport:
