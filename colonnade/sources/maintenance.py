@@ -38,12 +38,11 @@ def _totals(segments: list[Segment]) -> tuple[int, int, int, int]:
 
 
 def needs_compaction(table: Table, segments: list[Segment] | None = None) -> bool:
-    """Many segments, a segment of many row groups, or row groups that could be merged."""
+    """Many segments, a segment of many row groups, or row groups that could be merged; and a rewrite that changes it."""
     segments = table.segments() if segments is None else segments
     c = table.config
-    if len(segments) >= c.compaction_segment_threshold or any(s.row_groups > c.compaction_row_group_threshold for s in segments):
-        return True
-    return any(s.underfilled for s in segments)
+    many = len(segments) >= c.compaction_segment_threshold or any(s.row_groups > c.compaction_row_group_threshold for s in segments)
+    return bool(segments) and (many or any(s.underfilled for s in segments)) and not _optimal(table, segments)
 
 
 def _optimal(table: Table, segments: list[Segment]) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colonnade.catalogue import ORACLE, QUERIES, TABLES
 from colonnade.functions.types import U32, ColumnSchema, TableSchema
-from colonnade.sources.maintenance import optimize
+from colonnade.sources.maintenance import maybe_compact, needs_compaction, optimize
 from colonnade.sources.storage import TableConfig
 
 SF = "/root/testdata/sf0.01"
@@ -56,6 +56,18 @@ def test_optimize_splits_segments_that_are_too_large(session):
     assert [r["id"] for r in session.query("FROM t.c\nLIMIT 99").collect()] == list(range(16)) and optimize(made).skipped
 
 
+def test_a_compacted_table_needs_no_compaction_whatever_its_size(session):
+    made = full_segments(session, 3, 5, TableConfig(row_group_size=2, compaction_row_group_threshold=2, compaction_segment_threshold=3))
+    assert needs_compaction(made) and maybe_compact(made).output_segments == 4
+    assert not needs_compaction(made) and maybe_compact(made) is None
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["compaction"])
+def test_compaction(spark, larger, name):
+    same(spark, larger, name)
+
+
 @needs_tables
 def test_meta_optimize(spark, larger):
     same(spark, larger, "meta_optimize")
