@@ -63,7 +63,7 @@ def test_a_compacted_table_needs_no_compaction_whatever_its_size(session):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["compaction"])
+@pytest.mark.parametrize("name", ["compaction", "background_compaction"])
 def test_compaction(spark, larger, name):
     same(spark, larger, name)
 
