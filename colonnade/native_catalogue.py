@@ -55,7 +55,7 @@ def _filled(spark: SparkSession, sf_dir: str, parts: int = 1, config: TableConfi
     table = session.catalog.create_table("work.ord", _ORD, config)
     source = _rows(session, ORDERS)
     for i in range(parts):
-        table.append(source.filter(F.col("k") % parts == i).coalesce(1).sortWithinPartitions("k"))
+        table.append(source.filter(F.col("k") % parts == i), ["k"])
     session.catalog.create_table("work.cust", _CUST).append(_rows(session, CUSTOMERS).coalesce(1))
     return session
 
@@ -101,7 +101,7 @@ def empty_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of signed and of unsigned type match by value; a number and a text can't be joined."""
     session = _filled(spark, sf_dir)
-    session.catalog.create_table("work.u", TableSchema((ColumnSchema("u", U32, False),))).append(_rows(session, "select o_orderkey as u from orders").coalesce(1))
+    session.catalog.create_table("work.u", TableSchema((ColumnSchema("u", U32, False),))).append(_rows(session, "select o_orderkey as u from orders"), ["u"])
     found = session.query("FROM work.ord\nJOIN work.u ON k = u\nSELECT k").count()
     try:
         session.query("FROM work.ord\nJOIN work.cust ON k = seg\nSELECT k")
@@ -137,7 +137,7 @@ def cleared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.query("FROM work.ord").count()
     session.execute("DELETE FROM work.ord")
     empty = session.query("FROM work.ord").count()
-    session.catalog.resolve_native("work.ord").append(_rows(session, ORDERS).filter("k < 100").coalesce(1))
+    session.catalog.resolve_native("work.ord").append(_rows(session, ORDERS).filter("k < 100"), ["k"])
     return session.query("FROM work.ord\nSELECT k, tag").withColumn("before", F.lit(empty))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from ..functions.types import BOOL, I32, U32, UTF8
-from .storage import BACKUP, SEGMENT_FILE, STAGING, Segment, Table
+from .storage import BACKUP, SEGMENT_FILE, STAGING, TASK_ROWS, Segment, Table
 
 _KINDS = (UTF8, I32, U32, BOOL)
 
@@ -56,8 +56,7 @@ def _optimal(table: Table, segments: list[Segment]) -> bool:
 def optimize(table: Table) -> CompactionReport:
     """Rewrites all rows into segments of row_group_size x compaction_row_group_threshold rows, in their order.
 
-    A row's rank is its place in its file and the rows of the files before it, so rows are dealt to segments without a
-    sort of the table, and each task writes one segment.
+    Rows are dealt to tasks by their rank, without a sort of the table.
     """
     with table.lock():
         segments = table.segments()
@@ -65,13 +64,8 @@ def optimize(table: Table) -> CompactionReport:
         if not segments or _optimal(table, segments):
             return CompactionReport(count, count, groups, groups, 0, size, size, True)
         per_segment = table.config.row_group_size * table.config.compaction_row_group_threshold
-        marked = table.scan(ordered=True)
-        marks = [c for c in marked.columns if c.startswith("__at_")]
-        files = marked.groupBy("__at_0", "__at_1").agg(F.count("*").alias("n"))
-        before = files.selectExpr("__at_0", "__at_1", "sum(n) over (order by __at_0, __at_1) - n as __before")  # a row per file
-        parts = -(-rows // per_segment)
-        dealt = marked.join(before, ["__at_0", "__at_1"]).withColumn("__segment", F.floor((F.col("__before") + F.col("__at_2")) / per_segment).cast("int"))
-        df = dealt.repartitionById(parts, "__segment").sortWithinPartitions(*marks).select([f"`{c.name}`" for c in table.schema.columns])
+        # a task writes several segments, but under 1,000: the number of a task's file, by which they are sorted, has three digits
+        df = table.dealt(table.scan(ordered=True), per_segment * max(1, min(999, TASK_ROWS // per_segment)))
         written = table.replace(df, per_segment)
         after = table.segments()
         return CompactionReport(count, len(after), groups, sum(s.row_groups for s in after), written, size, sum(s.size_bytes for s in after), False)

@@ -27,6 +27,8 @@ LEASE_SECONDS = 120
 STAGING, BACKUP = ".compacting_", ".compacted_old_"
 #: What an insert has written so far; nothing but that insert removes it.
 INSERTING = ".inserting_"
+#: Rows that one task sorts and writes, or a little less; a file of a segment that is written in order has as many.
+TASK_ROWS = 250_000
 _SEGMENT = re.compile(r"segment_([0-9]+)")
 _CODECS = {"none": "none", "lz4": "lz4_raw", "zstd": "zstd"}
 
@@ -245,13 +247,50 @@ class Table:
         self.files.write(f"{path}/{SEGMENT_FILE}", json.dumps(meta))
         return rows
 
+    def _write_ordered(self, df: DataFrame, path: str, order: list[str]) -> int:
+        """Like _write(), with the rows in ascending order over all files, nulls first, and full row groups but for the last.
+
+        Ranges are sorted and written first, then dealt by rank: tasks have some TASK_ROWS rows, whatever the table has, but for
+        those of one value of the columns, which stay together while they are sorted.
+        """
+        tasks = -(-df.count() // TASK_ROWS)
+        if tasks <= 1:
+            return self._write(df.repartition(1).sortWithinPartitions(*order), path)
+        ranges = f"{path}_ranges"
+        try:
+            try:
+                df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.parquet(ranges)
+            except Exception as e:
+                if (known := translated(e)) is not e:
+                    raise known from None
+                raise
+            file = F.col("_metadata.file_path")
+            marked = self.spark.read.schema(df.schema).parquet(ranges).select("*", file.alias("__at_0"), file.alias("__at_1"), F.col("_metadata.row_index").alias("__at_2"))
+            size = self.config.row_group_size
+            return self._write(self.dealt(marked, size * max(1, TASK_ROWS // size)), path)
+        finally:
+            self.files.delete(ranges)
+
+    def dealt(self, marked: DataFrame, rows_per_task: int) -> DataFrame:
+        """The rows of a scan with ``__at_`` columns in their order, so many in each task but the last.
+
+        A row's rank is its place in its file and the rows of the files before it, so rows are dealt without a sort of them all.
+        """
+        by = ["__at_0", "__at_1"]
+        files = marked.groupBy(by).agg(F.count("*").alias("n"))
+        before = files.selectExpr(*by, "sum(n) over (order by __at_0, __at_1) - n as __before")  # a row per file
+        total = files.agg(F.sum("n")).first()[0] or 0
+        ranked = marked.join(F.broadcast(before), by).withColumn("__rank", F.col("__before") + F.col("__at_2")).drop(*by, "__at_2", "__before")
+        dealt = ranked.withColumn("__task", F.expr(f"cast(__rank div {rows_per_task} as int)"))
+        return dealt.repartitionById(max(1, -(-total // rows_per_task)), "__task").sortWithinPartitions("__rank").select([f"`{c.name}`" for c in self.schema.columns])
+
     def _next_number(self) -> int:
         return max((s.number for s in self.segments()), default=-1) + 1
 
-    def append(self, df: DataFrame) -> int:
-        """Adds the rows as one segment: all of them or, on any error, none. Nothing to write makes no segment."""
+    def append(self, df: DataFrame, order: list[str] | None = None) -> int:
+        """Adds the rows as one segment, in an order if asked: all of them or, on any error, none. Nothing to write makes no segment."""
         staged = f"{self.path}/{INSERTING}{uuid.uuid4().hex}"
-        rows = self._write(df, staged)
+        rows = self._write_ordered(df, staged, order) if order else self._write(df, staged)
         try:
             if rows:
                 with self._writing():

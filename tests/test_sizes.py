@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colonnade.catalogue import ORACLE, QUERIES, TABLES
-from colonnade.functions.types import U32, ColumnSchema, TableSchema
+from colonnade.errors import StorageError
+from colonnade.functions.types import U32, UTF8, ColumnSchema, TableSchema
+from colonnade.native_catalogue import _filled
 from colonnade.sources.maintenance import maybe_compact, needs_compaction, optimize
 from colonnade.sources.storage import TableConfig
 
@@ -68,6 +70,38 @@ def test_compaction(spark, larger, name):
     same(spark, larger, name)
 
 
+def test_rows_are_written_in_order_by_several_tasks(session, spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("colonnade.sources.storage.TASK_ROWS", 100)
+    session.execute("CREATE DATABASE t")
+    made = session.catalog.create_table("t.o", TableSchema((ColumnSchema("name", UTF8, True), ColumnSchema("id", U32))), TableConfig(row_group_size=30))
+    ids = spark.range(0, 1000, 1, 7).select((F.col("id") * 331 % 1000).alias("id"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("name"))
+    assert made.append(ids, ["id"]) == 1000
+    (segment,) = made.segments()
+    assert (segment.rows, segment.row_groups, segment.underfilled) == (1000, 34, False)
+    assert [r["id"] for r in session.query("FROM t.o\nSELECT id\nLIMIT 2000").collect()] == list(range(1000))
+    assert session.query("FROM t.o\nFILTER name = \"x\"").count() == 666
+    files = sorted((tmp_path / "data/t/o/segment_0").glob("*.parquet"))
+    groups = [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in (pq.ParquetFile(f).metadata for f in files)]
+    assert groups == [[30, 30, 30]] * 11 + [[10]]
+    assert sorted(e.name for e in made.files.list(made.path)) == ["schema.json", "segment_0", "table.config.json"]
+    with pytest.raises(StorageError, match="too large"):
+        made.append(ids.select(F.raise_error(F.lit("<<S|too large>>")).cast("string").alias("name"), "id"), ["id"])
+    assert sorted(e.name for e in made.files.list(made.path)) == ["schema.json", "segment_0", "table.config.json"]
+    assert made.append(ids.filter("id > 5000"), ["id"]) == 0 and len(made.segments()) == 1
+
+
+@needs_tables
+def test_no_task_writes_all_orders(spark, larger, monkeypatch):
+    monkeypatch.setattr("colonnade.sources.storage.TASK_ROWS", 5_000, raising=False)
+    session = _filled(spark, larger, 2, TableConfig(row_group_size=500))
+    rows = session.catalog.resolve_native("work.ord").scan().groupBy(F.col("_metadata.file_path")).count()
+    assert sorted(r["count"] for r in rows.collect()) == [5_000] * 8
+    for name in ("meta_segments", "pruned_scan", "mixed_keys", "null_order"):
+        same(spark, larger, name)
+
+
 @needs_tables
 def test_meta_optimize(spark, larger):
     same(spark, larger, "meta_optimize")
