@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import BOOL, I32, U32, UTF8
@@ -113,22 +115,30 @@ def column_stats(table) -> list[ColumnStats]:
     """Of each column: least and greatest value, nulls, and distinct values summed over row groups.
 
     A row group without any value counts no nulls. Columns that don't order (arrays) have no least and greatest.
+    Least and greatest values are kept by no group, since Spark sorts rows to group texts. Distinct values are dealt out
+    by their hash, column by column, so that a task has some TASK_ROWS rows, but for those of one value in one row group.
     """
     df = table.scan()
     size = table.config.row_group_size if isinstance(table, Table) else 1 << 20
     fields = table.struct().fields
-    group = df.select("*", F.col("_metadata.file_path").alias("__file"), F.floor(F.col("_metadata.row_index") / size).alias("__group")) if _has_files(table) else df.select("*", F.lit("").alias("__file"), F.lit(0).alias("__group"))
-    parts = []
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        orders = f.dataType.typeName() not in ("array", "map", "struct", "variant", "binary")
-        parts += [
-            (F.min(c) if orders else F.lit(None).cast("string")).alias(f"lo{i}"), (F.max(c) if orders else F.lit(None).cast("string")).alias(f"hi{i}"),
-            F.when(F.count(c) == 0, 0).otherwise(F.count("*") - F.count(c)).alias(f"no{i}"), F.count_distinct(c).alias(f"nd{i}"),
-        ]
-    groups = group.groupBy("__file", "__group").agg(*parts)
-    row = groups.agg(*[x for i in range(len(fields)) for x in (F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"), F.sum(f"no{i}").alias(f"no{i}"), F.sum(f"nd{i}").alias(f"nd{i}"))]).first()
-    return [ColumnStats(f.name, row[f"lo{i}"], row[f"hi{i}"], int(row[f"no{i}"] or 0), int(row[f"nd{i}"] or 0)) for i, f in enumerate(fields)]
+    columns = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]
+    if _has_files(table):
+        file = F.col("_metadata.file_path")
+        numbers = df.select(file.alias("__path")).distinct().selectExpr("__path", "row_number() over (order by __path) as __file")  # a row per file
+        marked = df.select(*columns, file.alias("__path"), F.expr(f"_metadata.row_index div {size}").alias("__group"))
+        grouped = marked.join(F.broadcast(numbers), "__path").drop("__path")
+    else:
+        grouped = df.select(*columns, F.lit(0).alias("__file"), F.lit(0).alias("__group"))
+    orders = [f.dataType.typeName() not in ("array", "map", "struct", "variant", "binary") for f in fields]
+    ends = [x for i, o in enumerate(orders) for x in ((F.min(f"c{i}"), F.max(f"c{i}")) if o else (F.lit(None), F.lit(None)))]
+    found = grouped.agg(F.count("*"), *ends).first()
+    counts = grouped.groupBy("__file", "__group").agg(F.count("*").alias("n"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(fields))])
+    nulls = counts.agg(F.count("*"), *[F.sum(F.when(F.col(f"n{i}") > 0, F.col("n") - F.col(f"n{i}"))) for i in range(len(fields))]).first()
+    tasks = max(1, -(-found[0] // TASK_ROWS))
+    by = [(i, ["__file", "__group", f"c{i}"]) for i in range(len(fields))]
+    each = [grouped.select(key).filter(f"c{i} is not null").repartition(tasks, *key).distinct().agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, key in by]
+    distinct = {r["i"]: r["n"] for r in reduce(DataFrame.union, each).collect()}
+    return [ColumnStats(f.name, found[1 + 2 * i], found[2 + 2 * i], int(nulls[1 + i] or 0), distinct[i]) for i, f in enumerate(fields)]
 
 
 def _has_files(table) -> bool:

@@ -10,7 +10,7 @@ from colonnade.catalogue import ORACLE, QUERIES, TABLES
 from colonnade.errors import StorageError
 from colonnade.functions.types import U32, UTF8, ColumnSchema, TableSchema
 from colonnade.native_catalogue import _filled
-from colonnade.sources.maintenance import maybe_compact, needs_compaction, optimize
+from colonnade.sources.maintenance import column_stats, maybe_compact, needs_compaction, optimize
 from colonnade.sources.storage import TableConfig
 
 SF = "/root/testdata/sf0.01"
@@ -102,6 +102,23 @@ def test_no_task_writes_all_orders(spark, larger, monkeypatch):
         same(spark, larger, name)
 
 
+def test_statistics_deal_out_distinct_values(session, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("colonnade.sources.maintenance.TASK_ROWS", 100, raising=False)
+    n = F.col("id")
+    rows = spark.range(0, 1000, 1, 2).select(n.alias("a.b"), F.when(n < 900, n % 7).alias("few"), F.when(n % 2 == 0, F.concat(F.lit("t"), n)).alias("text"), F.array(n % 2).alias("list"), F.when(n % 3 > 0, (n % 5).cast("double")).alias("f"), F.lit(None).cast("string").alias("none"))
+    rows.write.parquet(str(tmp_path / "in"))
+    spark.sparkContext.setJobGroup("stats", "stats")
+    try:
+        got = [(c.name, c.least, c.most, c.null_count, c.distinct_sum) for c in column_stats(session.catalog.register_parquet("x.t", str(tmp_path / "in")))]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # two files of 500 rows, each of them one row group
+    assert got == [("a.b", 0, 999, 0, 1000), ("few", 0, 6, 100, 14), ("text", "t0", "t998", 500, 500), ("list", None, None, 0, 4), ("f", 0.0, 4.0, 334, 10), ("none", None, None, 0, 0)]
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i: tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("stats") for i in tracker.getJobInfo(j).stageIds}
+    assert sum(s.numTasks == 10 for s in stages.values() if s) >= len(got)
+
+
 @needs_tables
 def test_meta_optimize(spark, larger):
     same(spark, larger, "meta_optimize")
