@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import BOOL, I32, U32, UTF8
-from .storage import BACKUP, SEGMENT_FILE, STAGING, TASK_ROWS, Segment, Table
+from .storage import BACKUP, SEGMENT_FILE, STAGING, Segment, Table, task_rows
 
 _KINDS = (UTF8, I32, U32, BOOL)
 
@@ -67,7 +67,7 @@ def optimize(table: Table) -> CompactionReport:
             return CompactionReport(count, count, groups, groups, 0, size, size, True)
         per_segment = table.config.row_group_size * table.config.compaction_row_group_threshold
         # a task writes several segments, but under 1,000: the number of a task's file, by which they are sorted, has three digits
-        df = table.dealt(table.scan(ordered=True), per_segment * max(1, min(999, TASK_ROWS // per_segment)))
+        df = table.dealt(table.scan(ordered=True), rows, per_segment, 999)
         written = table.replace(df, per_segment)
         after = table.segments()
         return CompactionReport(count, len(after), groups, sum(s.row_groups for s in after), written, size, sum(s.size_bytes for s in after), False)
@@ -116,7 +116,7 @@ def column_stats(table) -> list[ColumnStats]:
 
     A row group without any value counts no nulls. Columns that don't order (arrays) have no least and greatest.
     Least and greatest values are kept by no group, since Spark sorts rows to group texts. Distinct values are dealt out
-    by their hash, column by column, so that a task has some TASK_ROWS rows, but for those of one value in one row group.
+    by their hash, column by column, so that a task has some task_rows(), but for those of one value in one row group.
     """
     df = table.scan()
     size = table.config.row_group_size if isinstance(table, Table) else 1 << 20
@@ -134,7 +134,7 @@ def column_stats(table) -> list[ColumnStats]:
     found = grouped.agg(F.count("*"), *ends).first()
     counts = grouped.groupBy("__file", "__group").agg(F.count("*").alias("n"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(fields))])
     nulls = counts.agg(F.count("*"), *[F.sum(F.when(F.col(f"n{i}") > 0, F.col("n") - F.col(f"n{i}"))) for i in range(len(fields))]).first()
-    tasks = max(1, -(-found[0] // TASK_ROWS))
+    tasks = max(1, -(-found[0] // task_rows(found[0])))
     by = [(i, ["__file", "__group", f"c{i}"]) for i in range(len(fields))]
     each = [grouped.select(key).filter(f"c{i} is not null").repartition(tasks, *key).distinct().agg(F.lit(i).alias("i"), F.count("*").alias("n")) for i, key in by]
     distinct = {r["i"]: r["n"] for r in reduce(DataFrame.union, each).collect()}

@@ -27,12 +27,19 @@ LEASE_SECONDS = 120
 STAGING, BACKUP = ".compacting_", ".compacted_old_"
 #: What an insert has written so far; nothing but that insert removes it.
 INSERTING = ".inserting_"
-#: Rows that one task sorts and writes, or a little less; a file of a segment that is written in order has as many.
+#: Rows that one task sorts and writes at least, if there are so many; a file of a segment that is written in order has as many.
 TASK_ROWS = 250_000
+#: Up to so many partitions (spark.shuffle.sort.bypassMergeThreshold) a shuffle's map tasks write without buffering all their rows.
+LIGHT_PARTITIONS = 200
 _SEGMENT = re.compile(r"segment_([0-9]+)")
 _CODECS = {"none": "none", "lz4": "lz4_raw", "zstd": "zstd"}
 
 
+def task_rows(rows: int) -> int:
+    """Rows for each task when a number of rows is dealt out: at most eight times TASK_ROWS, if that makes the shuffle light."""
+    return max(TASK_ROWS, min(8 * TASK_ROWS, -(-rows // LIGHT_PARTITIONS)))
+
+
 @dataclass(frozen=True)
 class TableConfig:
     compression: str = "lz4"
@@ -250,10 +257,11 @@ class Table:
     def _write_ordered(self, df: DataFrame, path: str, order: list[str]) -> int:
         """Like _write(), with the rows in ascending order over all files, nulls first, and full row groups but for the last.
 
-        Ranges are sorted and written first, then dealt by rank: tasks have some TASK_ROWS rows, whatever the table has, but for
-        those of one value of the columns, which stay together while they are sorted.
+        Ranges are sorted and written first, then dealt by rank: tasks have some task_rows(), but for those of one value of the
+        columns, which stay together while they are sorted.
         """
-        tasks = -(-df.count() // TASK_ROWS)
+        total = df.count()
+        tasks = -(-total // task_rows(total))
         if tasks <= 1:
             return self._write(df.repartition(1).sortWithinPartitions(*order), path)
         ranges = f"{path}_ranges"
@@ -267,19 +275,20 @@ class Table:
             file = F.col("_metadata.file_path")
             marked = self.spark.read.schema(df.schema).parquet(ranges).select("*", file.alias("__at_0"), file.alias("__at_1"), F.col("_metadata.row_index").alias("__at_2"))
             size = self.config.row_group_size
-            return self._write(self.dealt(marked, size * max(1, TASK_ROWS // size)), path)
+            return self._write(self.dealt(marked, total, size), path)
         finally:
             self.files.delete(ranges)
 
-    def dealt(self, marked: DataFrame, rows_per_task: int) -> DataFrame:
-        """The rows of a scan with ``__at_`` columns in their order, so many in each task but the last.
+    def dealt(self, marked: DataFrame, total: int, unit: int, most: int | None = None) -> DataFrame:
+        """The rows of a scan with ``__at_`` columns in their order; each task but the last has full units of rows, ``most`` of them at most.
 
         A row's rank is its place in its file and the rows of the files before it, so rows are dealt without a sort of them all.
         """
+        units = -(-task_rows(total) // unit)
+        rows_per_task = unit * min(units, most or units)
         by = ["__at_0", "__at_1"]
         files = marked.groupBy(by).agg(F.count("*").alias("n"))
         before = files.selectExpr(*by, "sum(n) over (order by __at_0, __at_1) - n as __before")  # a row per file
-        total = files.agg(F.sum("n")).first()[0] or 0
         ranked = marked.join(F.broadcast(before), by).withColumn("__rank", F.col("__before") + F.col("__at_2")).drop(*by, "__at_2", "__before")
         dealt = ranked.withColumn("__task", F.expr(f"cast(__rank div {rows_per_task} as int)"))
         return dealt.repartitionById(max(1, -(-total // rows_per_task)), "__task").sortWithinPartitions("__rank").select([f"`{c.name}`" for c in self.schema.columns])

@@ -84,7 +84,7 @@ def test_rows_are_written_in_order_by_several_tasks(session, spark, tmp_path, mo
     assert session.query("FROM t.o\nFILTER name = \"x\"").count() == 666
     files = sorted((tmp_path / "data/t/o/segment_0").glob("*.parquet"))
     groups = [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in (pq.ParquetFile(f).metadata for f in files)]
-    assert groups == [[30, 30, 30]] * 11 + [[10]]
+    assert groups == [[30, 30, 30, 30]] * 8 + [[30, 10]]
     assert sorted(e.name for e in made.files.list(made.path)) == ["schema.json", "segment_0", "table.config.json"]
     with pytest.raises(StorageError, match="too large"):
         made.append(ids.select(F.raise_error(F.lit("<<S|too large>>")).cast("string").alias("name"), "id"), ["id"])
@@ -103,7 +103,7 @@ def test_no_task_writes_all_orders(spark, larger, monkeypatch):
 
 
 def test_statistics_deal_out_distinct_values(session, spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("colonnade.sources.maintenance.TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr("colonnade.sources.storage.TASK_ROWS", 100, raising=False)
     n = F.col("id")
     rows = spark.range(0, 1000, 1, 2).select(n.alias("a.b"), F.when(n < 900, n % 7).alias("few"), F.when(n % 2 == 0, F.concat(F.lit("t"), n)).alias("text"), F.array(n % 2).alias("list"), F.when(n % 3 > 0, (n % 5).cast("double")).alias("f"), F.lit(None).cast("string").alias("none"))
     rows.write.parquet(str(tmp_path / "in"))
