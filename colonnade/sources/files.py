@@ -19,11 +19,13 @@ class Entry:
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self._jvm = spark._jvm
+        # looked up once: each step of a class's name is a call to the JVM
+        self._hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._io = spark._jvm.org.apache.commons.io.IOUtils
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        p = self._hadoop_path(path)
         return p.getFileSystem(self._conf), p
 
     def exists(self, path: str) -> bool:
@@ -52,7 +54,7 @@ class Files:
 
     def rename(self, old: str, new: str) -> bool:
         fs, p = self._at(old)
-        return fs.rename(p, self._jvm.org.apache.hadoop.fs.Path(new))
+        return fs.rename(p, self._hadoop_path(new))
 
     def size(self, path: str) -> int:
         fs, p = self._at(path)
@@ -62,7 +64,7 @@ class Files:
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._io.toString(stream, "UTF-8")
         finally:
             stream.close()
 
